@@ -31,7 +31,7 @@ from histlake.llm.common import BLANKS, OWN, text_or_empty, without
 from histlake.sources import read_table, write_and_read
 
 OUTPUTS = ("n_lines", "n_exact_dropped", "n_near_dropped")
-#: Up to so many candidate lines (16 bytes each) their hashes are broadcast; more are joined by a shuffle.
+#: Up to so many candidate lines (about 40 bytes each) their places are broadcast; more are joined by a shuffle.
 BROADCAST_LINES = 200_000
 LINE = ["h1", "h2"]
 
@@ -57,26 +57,35 @@ def _half_keys(words: Column, n: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """did, row, line_no, words, h1, h2: the lines that have a word."""
-    norm = F.trim(F.regexp_replace(F.lower("line"), BLANKS, " "))
     return (
         docs.select(F.col(id_col).alias("did"), F.xxhash64(F.col(text_col)).alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-        .select("did", "row", "line_no", norm.alias("norm"))
-        .where(F.col("norm") != "")
-        .select("did", "row", "line_no", F.split("norm", " ").alias("words"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2"))
+        .select("did", "row", "line_no", _words("line").alias("words"))
+        .where(F.size("words") > 0)
+        .select("*", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"))
     )
 
 
+def _words(line: str) -> Column:
+    return F.filter(F.split(F.lower(F.col(line)), BLANKS), lambda w: w != "")
+
+
 def _near_lines(docs: DataFrame, distinct: DataFrame, near_min_words: int, id_col: str, text_col: str) -> DataFrame:
     """h1, h2 of lines within one word edit of an earlier line."""
-    halves = distinct.where(F.col("n") >= near_min_words).select(*LINE, F.explode("halves").alias("half"))
+    halves = distinct.where(F.col("n") >= near_min_words).select(*LINE, "first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
-    chosen = write_and_read(halves.join(shared, "half", "left_semi").select(*LINE).distinct(), "line-candidates")
-    lines = _lines(docs, id_col, text_col).where(F.size("words") >= near_min_words).select(*LINE, "words", _order().alias("at"))
+    chosen = write_and_read(halves.join(shared, "half", "left_semi").select(*LINE, "first").distinct(), "line-candidates")
+    # their words, from where they stand first
     small = chosen.count() <= BROADCAST_LINES
-    found = lines.join(F.broadcast(chosen) if small else chosen, LINE, "left_semi")
-    found = write_and_read(
-        found.groupBy(*LINE).agg(F.min_by("words", "at").alias("words"), F.min("at").alias("at")), "line-words"
+    places = chosen.groupBy(F.when(~F.col("first.none"), F.col("first.did")).alias("did"), F.col("first.row").alias("row")).agg(F.collect_list(F.struct("first", *LINE)).alias("lines"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("x"), F.col(text_col).alias("t"))
+    found = (
+        texts.join(F.broadcast(places) if small else places, F.col("id").eqNullSafe(F.col("did")) & (F.col("x") == F.col("row")))
+        .select(F.split("t", "\n").alias("parts"), F.explode("lines").alias("l"))
+        .select("l.h1", "l.h2", F.col("l.first").alias("at"), F.get("parts", F.col("l.first.line_no")).alias("line"))
+        .select(*LINE, "at", _words("line").alias("words"))
+        .dropDuplicates(LINE)  # rows that repeat an id and a text
     )
+    found = write_and_read(found, "line-words")
     whole = Window.partitionBy(*LINE)
     upto = whole.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     words = found.select(*LINE, "at", F.size("words").alias("n"), F.posexplode("words").alias("p", "w")).select(
