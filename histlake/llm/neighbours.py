@@ -210,9 +210,11 @@ def search(
     posted = groups.mapInPandas(post, "list long, ids array<long>, v array<double>")
     posted = write_and_read(posted, "postings")
     sizes = posted.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    posted = posted.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks")).cast("int"))
+    sizes = write_and_read(sizes, "list-sizes")
+    block = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks")).cast("int")
+    posted = posted.join(sizes, "list").select("list", block.alias("block"), "ids", "v")
     queries = valid.where(F.col("vec_id") % every == 0).distinct().mapInPandas(ask, "list long, query_id long, q array<double>")
-    asked = queries.join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = queries.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q")
 
     def scan(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
