@@ -8,7 +8,7 @@ one. The kernel is normalised by the lengths of its two strings.
 A sentence is made of spans: its words (long ones in overlapping windows), and runs of
 single characters joined ("i d i o t"). A sentence is as toxic as its most toxic span, and a
 text as its most toxic sentence. Labels mark texts, so the fit alternates: take each toxic
-text's most suspicious span (at first the one most typical of toxic texts) and each clean
+text's most suspicious span (at first the one most typical of toxic texts, if it recurs) and each clean
 text's, fit, and choose again.
 
 The machine is linear in the Nystroem features K(s, Z) K(Z, Z)^(-1/2) of at most
@@ -47,6 +47,8 @@ BITS, SPAN, DECAY = 18, 7, 0.7
 WINDOW = 24
 CACHE_SPANS = 400_000
 NO_SPANS = -2.0
+#: A span starts the fit if so many toxic texts have it, and so many times the share of clean texts.
+MIN_TEXTS, MIN_LIFT = 3, 8
 
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -104,8 +106,9 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     for at in range(0, len(words), 256):
         part = words[at : at + 256]
         for owner, h, w in _triples(part):
-            for k in range(0, len(h), 4096):
-                np.add.at(out, at + owner[k : k + 4096], w * table[h[k : k + 4096]])
+            if len(h):
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                out[at + owner[starts]] += w * np.add.reduceat(table[h], starts, axis=0)
         out[at : at + len(part)] /= _norms(part)[:, None]
     return out
 
@@ -149,8 +152,14 @@ def _fit_plain(bags: list[list[str]], y: np.ndarray, n_landmarks: int, cost: flo
 
     toxic = [i for i in np.flatnonzero(y == 1) if bags[i]]
     clean = [i for i in np.flatnonzero(y == -1) if bags[i]]
+    vocabulary = sorted(set().union(*bags))
+    number = {w: k for k, w in enumerate(vocabulary)}
+    numbers = {i: np.array([number[w] for w in bags[i]]) for i in [*toxic, *clean]}
     chosen = {i: max(bags[i], key=lambda w: (typical(w), w)) for i in toxic}
-    top = Counter(w for w in chosen.values() if seen[1][w] > 1 and not seen[-1][w]) or Counter(chosen.values())
+    # Labels are noisy: a text explains nothing unless its span recurs in toxic texts, and rarely elsewhere.
+    known = {i: w for i, w in chosen.items() if seen[1][w] >= MIN_TEXTS and seen[1][w] * (n0 + 1) >= MIN_LIFT * (seen[-1][w] + 0.5) * (n1 + 1)}
+    chosen = known or chosen
+    top = Counter(chosen.values())
     landmarks = [w for w, _ in sorted(top.items(), key=lambda x: (-x[1], x[0]))[: n_landmarks * 3 // 4]]
     common = sorted(seen[-1].items(), key=lambda x: (-x[1], x[0]))
     step = max(1, len(common) // max(1, n_landmarks - len(landmarks)))
@@ -168,11 +177,11 @@ def _fit_plain(bags: list[list[str]], y: np.ndarray, n_landmarks: int, cost: flo
     model = SubsequenceSvm(np.zeros(1 << BITS), -1.0, Sigmoid(1.0, 0.0))
     for turn in range(rounds):
         if turn:
-            for i in toxic:
-                chosen[i] = bags[i][int(np.argmax(model.margins(bags[i])))]
-            negative |= {bags[i][int(np.argmax(model.margins(bags[i])))] for i in clean}
-        # A span that clean texts have too explains no toxic text.
-        positive = [w for w in chosen.values() if w not in negative and seen[-1][w] * n1 <= seen[1][w] * n0]
+            margin = np.concatenate([model.margins(vocabulary[k : k + 8192]) for k in range(0, len(vocabulary), 8192)])
+            worst = {i: k[int(np.argmax(margin[k]))] for i, k in numbers.items()}
+            chosen = {i: vocabulary[worst[i]] for i in toxic if margin[worst[i]] > 0} or chosen
+            negative |= {vocabulary[worst[i]] for i in clean}
+        positive = [w for w in chosen.values() if w not in negative]
         words = positive + sorted(negative)
         if not positive or not negative:
             break
