@@ -4,8 +4,10 @@ A text's set is its distinct 5-word shingles, hashed to 64 bits. The table keys
 MinHash are formed by tensoring: from two collections of ``halves`` small hashes each (of
 ``rows`` minhashes), every pair of one from each collection makes a key. ``halves**2`` tables
 of ``2 * rows`` minhashes thus take only ``2 * halves * rows`` minhash functions instead of
-``2 * halves**2 * rows``: 12 and 3 here, so 144 tables of 6 rows from 72 functions. Two sets
-of similarity s share a key with probability (1 - (1 - s^3)^12)^2: 0.997 at 0.75.
+``2 * halves**2 * rows``: 16 and 4 here, so 256 tables of 8 rows from 128 functions. Two sets
+of similarity s share a key with probability (1 - (1 - s^4)^16)^2: 0.995 at 0.75. Two bits of
+each of ``sketch`` minhashes estimate a pair's similarity; a pair whose estimate is 3.7
+standard deviations below the bound (one in 10,000 at the bound) is no candidate.
 
 Candidates become links only if 100 * intersection >= 75 * union on the full sets. Components
 of the links are groups; a group keeps its smallest id.
@@ -16,11 +18,13 @@ Skew and blow-up:
 * Half keys that no second node has are dropped before keys are formed, which is lossless and
   leaves only documents that resemble another.
 * No pairs are emitted within a bucket. Each bucket first links its members to one of them,
-  chosen by a seeded hash (a star). Each node's most frequent partner is verified first, and
-  components are formed; then the remaining star pairs between different components; and only
-  then, for buckets that still hold several components, all pairs across these, so that no
-  link between different texts is lost to the stars. Pairs whose sizes rule out the
-  similarity are dropped before any set is read.
+  the one that shares most half keys with others (a star, whose centre is thus central). Each
+  node's most frequent centre is verified first, and components are formed; then the other
+  star pairs between different components.
+* Only then, so that no link between different texts is lost to the stars, come the pairs
+  that share a key across components: of a bucket's largest component, only with the
+  bucket's other members. They are found by their first common half key on one side, checked
+  for one on the other side, so each pair arises once, and not once per table.
 * Components are found by alternating large and small stars over written tables, never on
   the driver.
 
@@ -77,31 +81,42 @@ class Shingler:
 
 def minhash_parameters(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+    return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def half_keys(shingles: np.ndarray, halves: int, rows: int, params: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """2 * halves small hashes: the first collection's, then the second's."""
+def minhashes(shingles: np.ndarray, params: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     a, b = params
-    least = np.full(2 * halves * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 4096):
-        x = shingles[at : at + 4096]
-        h = x[None, :] * a[:, None] + b[:, None]
-        h ^= h >> np.uint64(32)
-        least = np.minimum(least, (h * _MIX).min(1))
+    least = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32)
+    low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(low), 1024):
+        h = low[None, at : at + 1024] * a[:, None]
+        h ^= b[:, None]
+        least = np.minimum(least, h.min(1))
+    return least
+
+
+def half_keys(least: np.ndarray, halves: int, rows: int) -> np.ndarray:
+    """2 * halves small hashes: the first collection's, then the second's."""
     out = np.arange(2 * halves, dtype=np.uint64)
-    for part in least.reshape(2 * halves, rows).T:
-        out = (out ^ part) * _MIX
+    for part in least[: 2 * halves * rows].reshape(2 * halves, rows).T:
+        out = (out ^ part.astype(np.uint64)) * _MIX
         out ^= out >> np.uint64(31)
     return out
 
 
-def signatures(docs: DataFrame, *, words: int, halves: int, rows: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), s1, s2 (128-bit hash of the set), h (half keys); empty sets have null hashes."""
+def sketch_bits(least: np.ndarray) -> np.ndarray:
+    """Two mixed bits of every minhash, 32 to a long."""
+    mixed = (least * np.uint32(0x9E3779B1)) >> np.uint32(30)
+    bits = np.stack([mixed & 1, mixed >> 1], axis=1).astype(np.uint8).ravel()
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def signatures(docs: DataFrame, *, words: int, halves: int, rows: int, sketch: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n (set size), s1, s2 (128-bit hash of the set), h (half keys), k (sketch); empty sets have nulls."""
     import hashlib
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, params = Shingler(words), minhash_parameters(2 * halves * rows, seed)
+        shingle, params = Shingler(words), minhash_parameters(max(sketch, 2 * halves * rows), seed)
         for pdf in batches:
             for at in range(0, len(pdf), 1024):
                 part = pdf.iloc[at : at + 1024]
@@ -109,17 +124,18 @@ def signatures(docs: DataFrame, *, words: int, halves: int, rows: int, seed: int
                 for i, t in zip(part["i"], part["t"], strict=True):
                     s = shingle(t if isinstance(t, str) else "")
                     if not len(s):
-                        rows_.append((i, 0, None, None, None))
+                        rows_.append((i, 0, None, None, None, None))
                         continue
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     s1, s2 = np.frombuffer(digest, "<i8").tolist()
-                    rows_.append((i, len(s), s1, s2, half_keys(s, halves, rows, params).view(np.int64).tolist()))
-                out = pd.DataFrame(rows_, columns=["i", "n", "s1", "s2", "h"])
+                    least = minhashes(s, params)
+                    rows_.append((i, len(s), s1, s2, half_keys(least, halves, rows).view(np.int64).tolist(), sketch_bits(least[:sketch]).tolist()))
+                out = pd.DataFrame(rows_, columns=["i", "n", "s1", "s2", "h", "k"])
                 out["s1"], out["s2"] = (pd.array([r[k] for r in rows_], dtype="Int64") for k in (2, 3))
                 yield out
 
     narrow = docs.select(F.col(id_col).cast("long").cast("string").alias("i"), F.col(text_col).alias("t"))
-    signed = narrow.mapInPandas(sign, "i string, n long, s1 long, s2 long, h array<long>")
+    signed = narrow.mapInPandas(sign, "i string, n long, s1 long, s2 long, h array<long>, k array<long>")
     return signed.withColumn("i", F.col("i").cast("long")).withColumnRenamed("i", "id")
 
 
@@ -143,8 +159,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         before = now
 
 
-def _size_allows(na: Column, nb: Column, percent: int) -> Column:
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+def _may_link(a: str, b: str, percent: int, sketch: int) -> Column:
+    """Whether sizes and sketches allow the similarity. ``a``, ``b``: prefixes of n and k."""
+    na, nb, ka, kb = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}k"), F.col(f"{b}k")
+    sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    differ = F.lit(0)
+    for i in range(sketch // 32):
+        x = F.get(ka, F.lit(i)).bitwiseXOR(F.get(kb, F.lit(i)))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    agree = (1 + 3 * percent / 100) / 4  # two bits agree by chance, too
+    least = sketch * agree - 3.7 * (sketch * agree * (1 - agree)) ** 0.5
+    return sizes & (sketch - differ >= F.lit(int(least)))
 
 
 def near_duplicates(
@@ -152,28 +177,29 @@ def near_duplicates(
     *,
     words: int = 5,
     percent: int = 75,
-    halves: int = 12,
-    rows: int = 3,
+    halves: int = 16,
+    rows: int = 4,
+    sketch: int = 256,
     seed: int = 2024,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """id, n_shingles, component_id, kept: one row per row of ``docs``."""
     signed = write_and_read(
-        signatures(docs, words=words, halves=halves, rows=rows, seed=seed, id_col=id_col, text_col=text_col), "signatures"
+        signatures(docs, words=words, halves=halves, rows=rows, sketch=sketch, seed=seed, id_col=id_col, text_col=text_col), "signatures"
     )
     full = signed.where("n > 0 and id is not null")
-    # one node per distinct set; the half keys of equal sets are equal
+    # one node per distinct set; all that is derived of equal sets is equal
     nodes = write_and_read(
-        full.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("h").alias("h")), "nodes"
+        full.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("h").alias("h"), F.first("k").alias("k")), "nodes"
     )
-    links = _links(docs, nodes, words=words, percent=percent, halves=halves, id_col=id_col, text_col=text_col)
+    links = _links(docs, nodes, words=words, percent=percent, halves=halves, sketch=sketch, id_col=id_col, text_col=text_col)
     found = components(links)
     # rows of one id with different sets are one document
     names = full.select("s1", "s2", "id").join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
     named = names.join(found, "node", "left").select("s1", "s2", "id", F.coalesce("component", "node").alias("component"))
     named = named.distinct()
-    own = signed.join(named, ["s1", "s2", "id"], "left")
+    own = signed.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "id"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return own.select(
         F.col("id").alias(id_col),
@@ -183,25 +209,31 @@ def near_duplicates(
     )
 
 
-def _links(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int, halves: int, id_col: str, text_col: str) -> DataFrame:
+def _links(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int, halves: int, sketch: int, id_col: str, text_col: str) -> DataFrame:
     """a, b: verified links between nodes."""
-    # half keys that several nodes have
+    # half keys that several nodes have, and how many
     single = nodes.select("node", F.posexplode("h").alias("place", "half"))
-    shared = single.groupBy("place", "half").agg(F.count("*").alias("nodes")).where("nodes > 1").drop("nodes")
-    pieces = single.join(shared, ["place", "half"], "left_semi").groupBy("node").agg(
-        F.collect_list(F.when(F.col("place") < halves, F.struct("place", "half"))).alias("first"),
-        F.collect_list(F.when(F.col("place") >= halves, F.struct("place", "half"))).alias("second"),
+    shared = single.groupBy("place", "half").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    pieces = (
+        single.join(shared, ["place", "half"])
+        .groupBy("node")
+        .agg(
+            F.collect_list(F.when(F.col("place") < halves, F.struct("place", "half"))).alias("first"),
+            F.collect_list(F.when(F.col("place") >= halves, F.struct("place", "half"))).alias("second"),
+            F.sum("nodes").alias("central"),
+        )
+        .where((F.size("first") > 0) & (F.size("second") > 0))
     )
-    keys = pieces.select("node", F.explode("first").alias("x"), "second").select("node", "x", F.explode("second").alias("y"))
-    keys = keys.select("node", F.xxhash64("x.place", "x.half", "y.place", "y.half").alias("key"))
+    pieces = write_and_read(pieces, "half-keys")
+    keys = pieces.select("node", "central", F.explode("first").alias("x"), "second").select("node", "central", "x", F.explode("second").alias("y"))
+    keys = keys.select("node", "central", F.xxhash64("x.place", "x.half", "y.place", "y.half").alias("key"))
     keys = write_and_read(keys, "keys")
-    several = keys.groupBy("key").agg(
-        F.count("*").alias("members"), F.min_by("node", F.xxhash64("key", "node")).alias("star")
-    ).where("members > 1").select("key", "star")
-    buckets = write_and_read(keys.join(several, "key"), "buckets")
+    several = keys.groupBy("key").agg(F.count("*").alias("members"), F.max_by("node", F.struct("central", "node")).alias("star")).where("members > 1").select("key", "star")
+    stars = keys.join(several, "key").groupBy(F.col("node").alias("a"), F.col("star").alias("b")).agg(F.count("*").alias("times"))
+    stars = write_and_read(stars, "stars")
+    inside = stars.select(F.col("a").alias("node")).distinct()  # every member of a shared bucket, centres too
 
-    # full sets of the nodes in buckets: from whole texts, once
-    inside = buckets.select(F.col("node")).distinct()
+    facts = write_and_read(nodes.join(inside, "node", "left_semi").select("node", "n", "k", "h"), "facts")
     wanted = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t")).join(inside, "node", "left_semi")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,32 +242,29 @@ def _links(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int, halve
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 found = [shingle(t if isinstance(t, str) else "").view(np.int64) for t in part["t"]]
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "n": [len(s) for s in found], "s": found})
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "s": found})
 
-    full = write_and_read(wanted.mapInPandas(sets, "node long, n long, s array<long>"), "sets")
-    sizes = full.select("node", "n")
+    # full sets of these nodes: from whole texts, once
+    full = write_and_read(wanted.mapInPandas(sets, "node long, s array<long>"), "sets")
 
     def possible(pairs: DataFrame) -> DataFrame:
-        a = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"))
-        b = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(a, "a").join(b, "b").where(_size_allows(F.col("na"), F.col("nb"), percent)).select("a", "b")
+        a, b = (facts.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("k").alias(f"{x}k")) for x in "ab")
+        return pairs.join(a, "a").join(b, "b").where(_may_link("a", "b", percent, sketch)).select(*pairs.columns)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = full.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-        b = full.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        a, b = (full.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
+    def labelled(found: DataFrame) -> DataFrame:
+        return facts.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+
     # 1. each node with its most frequent star
-    stars = buckets.where("node <> star").groupBy(F.col("node").alias("a"), F.col("star").alias("b")).agg(F.count("*").alias("times"))
-    stars = write_and_read(possible(stars).join(stars, ["a", "b"]), "stars")
+    stars = write_and_read(possible(stars.where("a <> b")), "star-pairs")
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
     links = write_and_read(verified(best), "links")
 
     # 2. star pairs between different components
-    def labelled(found: DataFrame) -> DataFrame:
-        return inside.join(found, inside["node"] == found["node"], "left").select(inside["node"], F.coalesce("component", inside["node"]).alias("c"))
-
     names = write_and_read(labelled(components(links)), "names")
     across = (
         stars.select("a", "b")
@@ -247,14 +276,20 @@ def _links(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int, halve
     )
     links = write_and_read(links.union(verified(across)), "links")
 
-    # 3. pairs across the components that a bucket still holds
-    names = write_and_read(labelled(components(links)), "names")
-    placed = buckets.select("key", "node").join(names, "node")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    placed = write_and_read(placed.join(mixed, "key", "left_semi"), "mixed")
-    left, right = (placed.select("key", F.col("node").alias(n), F.col("c").alias(f"c{n}")) for n in ("a", "b"))
-    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    return links.union(verified(possible(rest)))
+    # 3. pairs that share a key across components, by their first common half key
+    names = labelled(components(links))
+    placed = pieces.select("node", F.explode("first").alias("x")).select("node", "x.place", "x.half").join(names, "node")
+    sizes = placed.groupBy("place", "half", "c").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("place", "half").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1").drop("parts")
+    rows_ = placed.join(main, ["place", "half"]).join(facts, "node")
+    rows_ = write_and_read(rows_.select("place", "half", "node", "c", (F.col("c") == F.col("main")).alias("main"), "n", "k", "h"), "mixed")
+    left, right = (rows_.select(*[F.col(c).alias(f"{x}{c}") for c in rows_.columns]) for x in "ab")
+    same = F.zip_with("ah", "bh", lambda p, q: p == q)
+    once = (F.array_position(F.slice(same, 1, halves), True) == F.col("aplace") + 1) & F.array_contains(F.slice(same, halves + 1, halves), True)
+    other = ~F.col("amain") & (F.col("bmain") | (F.col("anode") < F.col("bnode"))) & (F.col("ac") != F.col("bc"))
+    on = (F.col("aplace") == F.col("bplace")) & (F.col("ahalf") == F.col("bhalf"))
+    rest = left.join(right, on & other & _may_link("a", "b", percent, sketch) & once).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+    return links.union(verified(write_and_read(rest, "rest")))
 
 
 def keep_first_of_groups(docs: DataFrame, **options) -> DataFrame:
@@ -266,7 +301,7 @@ def keep_first_of_groups(docs: DataFrame, **options) -> DataFrame:
     gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col(id_col).alias(f"{OWN}id")).distinct()
     kept = docs.join(gone, F.col(id_col) == F.col(f"{OWN}id"), "left_anti")
     text = F.xxhash64(F.col(options.get("text_col", "text")))
-    first = Window.partitionBy(F.col(id_col)).orderBy(text)
+    first = Window.partitionBy(F.col(id_col), F.when(F.col(id_col).isNull(), text)).orderBy(text)
     numbered = kept.withColumn(f"{OWN}n", F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.row_number().over(first)))
     return numbered.where(F.col(f"{OWN}n") == 1).select(*docs.columns)
 

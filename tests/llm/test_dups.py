@@ -98,7 +98,9 @@ def exact(rows, q, k):
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows], dtype=np.float64)
     me = x[ids == q][0]
-    score = np.array([sum(a * b for a, b in zip(me.tolist(), v.tolist(), strict=True)) for v in x])
+    score = np.zeros(len(x))
+    for j in range(x.shape[1]):  # one product after the other, without compensation
+        score = score + me[j] * x[:, j]
     order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:k]
     return [(int(ids[i]), float(score[i])) for i in order]
 
