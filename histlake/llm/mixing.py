@@ -67,8 +67,9 @@ def mix_plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` plus size, source_size, target, taken and finish.
+    """All rows and columns of ``docs`` (or of them ``keep``) plus size, source_size, target, taken and finish.
 
     ``taken``: words the mix takes of the row, repeats counted. ``finish``: virtual finish
     time of its first copy (null where the target is 0). ``__hl_start``: words of the source
@@ -82,6 +83,7 @@ def mix_plan(
             f"{OWN}null": F.col(source_col).isNull(),
             f"{OWN}src": F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col))),
             f"{OWN}place": place,
+            f"{OWN}tie": F.xxhash64(text_or_empty(text_col)),
         }
     ).withColumn(f"{OWN}bucket", F.substring(f"{OWN}place", 1, bucket_digits))
     sums = write_and_read(
@@ -95,16 +97,18 @@ def mix_plan(
     ).join(targets, f"{OWN}src")
     inside = (
         Window.partitionBy(f"{OWN}src", f"{OWN}bucket")
-        .orderBy(f"{OWN}place", F.col(id_col), "size", F.xxhash64(text_or_empty(text_col)))
+        .orderBy(f"{OWN}place", F.col(id_col), "size", f"{OWN}tie")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    if keep is not None:  # what isn't asked for isn't exchanged
+        sized = sized.select(*keep, "size", *[c for c in sized.columns if c.startswith(OWN)])
     placed = sized.join(starts, [f"{OWN}src", f"{OWN}bucket"]).withColumn(
         f"{OWN}start", F.col(f"{OWN}base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     )
     taken = sum((words_of_copy(e) for e in range(1, max_epochs)), words_of_copy(0))
     finish = F.when(F.col("target") > 0, (F.col(f"{OWN}start") + F.col("size")) / F.col("target"))
     return placed.withColumns({"taken": taken, "finish": finish}).drop(
-        f"{OWN}src", f"{OWN}null", f"{OWN}bucket", f"{OWN}base"
+        f"{OWN}src", f"{OWN}null", f"{OWN}bucket", f"{OWN}base", f"{OWN}tie"
     )
 
 
@@ -141,7 +145,7 @@ def mix_documents(docs: DataFrame, *, max_epochs: int = 2, text_col: str = "text
 
 
 def op2_mixing(spark, sf_dir):
-    plan = mix_plan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    plan = mix_plan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=("doc_id",))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "finish").orderBy("finish", "doc_id")
 
 
