@@ -5,9 +5,13 @@ kinds of vocabulary here never merge across certain blanks, so a text's ids are
 chunks, one after the other; most chunks are words seen before. The cache is bounded.
 
 * "bytes": byte-level BPE whose pre-tokenizer gives a word its one preceding blank, and a run
-  of blanks all but its last. The chunks below are that rule.
+  of blanks all but its last; a run of letters and a run of marks are always parted (but for
+  apostrophes, which may take letters along). The chunks below are that rule.
 * "words": BPE whose normalizer drops blanks between words. Chunks are cut at ASCII blanks,
-  across which neither its normalizer nor its pattern reaches.
+  across which neither its normalizer nor its pattern reaches, and between letters and marks.
+
+A new chunk of only letters or only marks is one piece of its pre-tokenizer and goes straight
+to the model, in the byte-level alphabet; other new chunks are encoded in full.
 
 Any other tokenizer is "whole": texts are encoded as they are. Strings of special tokens in a
 text are ordinary text.
@@ -18,17 +22,36 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
 #: Unicode White_Space, as the byte-level pattern's blank class has it (Python's own has four more).
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(f"[{_BLANK}]+(?![^{_BLANK}])| ?[^{_BLANK}]+|[{_BLANK}]")
+#: Letters and marks that are so in every version of Unicode, in composed form also in lower
+#: case. Apostrophes are neither.
+_LETTER, _MARK = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f", "!-&(-/:-@\\[-`{-~"
+_WORD = f"[{_LETTER}]+(?=['{_MARK}{_BLANK}]|$)|[{_MARK}]+(?=[{_LETTER}{_BLANK}]|$)|[^{_BLANK}]+"
+_CHUNK = re.compile(f"[{_BLANK}]+(?![^{_BLANK}])| ?(?:{_WORD})|[{_BLANK}]")
+_ASCII_BLANK = " \t-\r"
+_PART = re.compile(f"[{_LETTER}]+(?=['{_MARK}{_ASCII_BLANK}]|$)|[{_MARK}]+(?=[{_LETTER}{_ASCII_BLANK}]|$)|[^{_ASCII_BLANK}]+")
+#: Chunks that are one piece.
+_PIECE = re.compile(f" ?(?:[{_LETTER}]+|[{_MARK}]+)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
-#: Chunks kept in a worker's cache, 100 to 200 bytes each.
-CACHE_CHUNKS = 400_000
+
+_BYTES = _byte_letters()
+
+#: Chunks kept in a worker's cache, about 200 bytes each; the oldest half goes when it is full.
+CACHE_CHUNKS = 1_000_000
 
 
 class ChunkEncoder:
@@ -41,28 +64,46 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = _kind(self.tokenizer)
-        self.cache: dict = {}
+        self.pattern = {"bytes": _CHUNK, "words": _PART}.get(self.kind)
+        self.model = self.tokenizer.model
+        # a vocabulary that behaves otherwise is encoded in full
+        trial = ["word", "\xc4rger", "**", ".,", "ab" * 30, "Q", "\xe9"] + ([" word", " ,", " \xfc"] if self.kind == "bytes" else [])
+        self.pieces = self.kind != "whole" and all(self._piece(t) == ids for t, ids in zip(trial, self._ids(trial), strict=True))
+        self.cache: dict[str, bytes] = {}
         self.cache_chunks = cache_chunks
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.kind == "whole":
-            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(e.ids, dtype="<u4") for e in found]
+            return [np.array(ids, dtype="<u4") for ids in self._ids(texts)]
         out: list[np.ndarray] = []
         for batch in _by_length(texts):
-            cut = [_CHUNK.findall(t) if self.kind == "bytes" else t.encode("utf-8", "surrogatepass").split() for t in batch]
+            cut = [self.pattern.findall(t) for t in batch]
             if len(self.cache) > self.cache_chunks:
-                self.cache.clear()
-            cache = self.cache
-            missing = list(set(chain.from_iterable(cut)).difference(cache))
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                as_text = part if self.kind == "bytes" else [p.decode("utf-8", "surrogatepass") for p in part]
-                for chunk, e in zip(part, self.tokenizer.encode_batch_fast(as_text, add_special_tokens=False), strict=True):
-                    cache[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-            out += [np.frombuffer(b"".join([cache[c] for c in chunks]), dtype="<u4") for chunks in cut]
+                for chunk in list(islice(self.cache, self.cache_chunks // 2)):
+                    del self.cache[chunk]
+            self._learn(list(set(chain.from_iterable(cut)).difference(self.cache)))
+            out += [np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), dtype="<u4") for chunks in cut]
         return out
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+
+    def _piece(self, chunk: str) -> list[int]:
+        low = chunk.lower() if self.kind == "words" else chunk
+        return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(_BYTES))]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put the ids of new chunks into the cache."""
+        alone = []
+        for chunk in chunks:
+            if self.pieces and _PIECE.fullmatch(chunk):
+                ids = self._piece(chunk)
+                self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                alone.append(chunk)
+        for chunk, ids in zip(alone, self._ids(alone), strict=True):
+            self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+
 
 def _by_length(texts: list[str], chars: int = 4_000_000):
     """Runs of texts, so that no more than a few MB are cut into chunks at once."""
