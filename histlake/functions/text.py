@@ -12,6 +12,7 @@ BLANK = r"(?U)[\s\x1c-\x1f]+"
 #: The six ASCII blanks, for places where another engine must agree.
 ASCII_BLANK = r"[ \t\n\r\f\x0B]+"
 
+# Marks between the parts of a projected text
 STAGE_MARKS = ("\n[semantic projection: middle sample]\n", "\n[semantic projection: tail sample]\n")
 
 
