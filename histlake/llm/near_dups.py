@@ -6,8 +6,8 @@ MinHash are formed by tensoring: from two collections of ``halves`` small hashes
 of ``2 * rows`` minhashes thus take only ``2 * halves * rows`` minhash functions instead of
 ``2 * halves**2 * rows``: 16 and 4 here, so 256 tables of 8 rows from 128 functions. Two sets
 of similarity s share a key with probability (1 - (1 - s^4)^16)^2: 0.995 at 0.75. Two bits of
-each of ``sketch`` minhashes estimate a pair's similarity; a pair whose estimate is 3.7
-standard deviations below the bound (one in 10,000 at the bound) is no candidate.
+each of ``sketch`` minhashes estimate a pair's similarity; a pair whose estimate is three
+standard deviations below the bound (one in 700 at the bound) is no candidate.
 
 Candidates become links only if 100 * intersection >= 75 * union on the full sets. Components
 of the links are groups; a group keeps its smallest id.
@@ -48,6 +48,10 @@ from histlake.llm.common import OWN, without
 from histlake.sources import read_table, write_and_read
 
 OUTPUTS = ("n_shingles", "component_id", "kept")
+#: Components of so many links (16 bytes each) are found in one task.
+EDGES_IN_A_TASK = 200_000
+#: Up to so many ids (8 bytes each) are broadcast to find their texts; more are joined by a shuffle of the texts.
+BROADCAST_NODES = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,18 +146,21 @@ def signatures(docs: DataFrame, *, words: int, halves: int, rows: int, sketch: i
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, component (its smallest node) for edges (a, b), by alternating large and small stars."""
     edges = write_and_read(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+    # few edges meet in one task, where nothing need be exchanged; more are dealt out by node
+    few = edges.limit(EDGES_IN_A_TASK + 1).count() <= EDGES_IN_A_TASK
+    packed = (lambda df: df.coalesce(1)) if few else (lambda df: df)
     before = None
     while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
+        both = packed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: what is larger than the node hangs on its smallest neighbour
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: what is smaller, and the node itself, hang on the smallest
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = write_and_read(small.union(down.select("a", F.col("m").alias("b"))).distinct(), label)
+        edges = write_and_read(packed(small.union(down.select("a", F.col("m").alias("b")))).distinct(), label)
         # a sum of hashes changes if any edge does (decimal: no overflow)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        now = tuple(packed(edges).agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
@@ -168,7 +175,7 @@ def _may_link(a: str, b: str, percent: int, sketch: int) -> Column:
         x = F.get(ka, F.lit(i)).bitwiseXOR(F.get(kb, F.lit(i)))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     agree = (1 + 3 * percent / 100) / 4  # two bits agree by chance, too
-    least = sketch * agree - 3.7 * (sketch * agree * (1 - agree)) ** 0.5
+    least = sketch * agree - 3.0 * (sketch * agree * (1 - agree)) ** 0.5
     return sizes & (sketch - differ >= F.lit(int(least)))
 
 
@@ -179,7 +186,7 @@ def near_duplicates(
     percent: int = 75,
     halves: int = 16,
     rows: int = 4,
-    sketch: int = 256,
+    sketch: int = 512,
     seed: int = 2024,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -234,7 +241,9 @@ def _links(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int, halve
     inside = stars.select(F.col("a").alias("node")).distinct()  # every member of a shared bucket, centres too
 
     facts = write_and_read(nodes.join(inside, "node", "left_semi").select("node", "n", "k", "h"), "facts")
-    wanted = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t")).join(inside, "node", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
+    small = facts.count() <= BROADCAST_NODES
+    wanted = texts.join(F.broadcast(facts.select("node")) if small else inside, "node", "left_semi")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
