@@ -5,13 +5,18 @@ sqrt(longest^2 - length^2) (0 for queries). Centroids come from a bounded, docum
 (``sample_rows``): k-means whose lists above their fair share are split, so lists stay
 balanced. Every vector goes to its nearest centroid's list and, near a boundary, to those
 whose squared distance is within ``replicate_ratio`` of the nearest's, at most
-``max_copies``. A query walks a k-nearest-neighbour graph of the centroids in memory and
-opens those lists whose squared distance is within ``prune_ratio`` of the nearest's (at least
-``min_lists``, at most ``max_lists``). Opened lists are scanned with exact inner products in
-double precision.
-
-Scale: lists are cut into blocks of about ``block_rows`` by a hash of the id, so a list that
-outgrows its share (the sample is bounded, the table is not) is scanned by many tasks. Equal
+``max_copies``, found by walks of a k-nearest-neighbour graph of the centroids. Lists near
+one another form a cell. A query, scaled to the longest length (which changes no order and
+leaves its distances without a common offset), opens all lists whose squared distance is
+within a ratio of the nearest's (at least ``min_lists``), however many, with the rest of their
+cells. The ratio is ``prune_ratio``, or more if fewer than ``recall`` of the true neighbours
+within a sample would be met: then the one that meets them. Opened cells are scanned with
+exact inner products in double precision.
+
+Scale: cells are cut into blocks of about ``block_values`` components by a hash of the id, so a
+cell that outgrows its share (the sample is bounded, the table is not) is scanned by many
+tasks, and so are queries into slices of ``slice_rows``. Where vectors have no clusters, most
+cells open and the scans grow as queries times rows: recall is kept, not time. Equal
 vectors are one candidate: of each, only the k + 1 least ids can ever be among a query's k
 nearest, so a vector that a third of all rows share costs k + 1 rows. The broadcast holds
 centroids and graph only: at most ``max_centroids`` times the dimension.
@@ -44,6 +49,8 @@ class Index:
     longest2: float
 
     def lift(self, x: np.ndarray, query: bool = False) -> np.ndarray:
+        if query:
+            x = x * np.sqrt(self.longest2 / (x * x).sum(1))[:, None]
         rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.longest2 - (x * x).sum(1)))
         return np.hstack([x, rest[:, None]])
 
@@ -133,6 +140,67 @@ def build_index(sample: np.ndarray, longest2: float, *, list_rows: int, max_cent
     return Index(centroids, graph, longest2)
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Lists near one another as one unit of storage and scanning."""
+
+    index: Index
+    cell: np.ndarray
+    max_copies: int
+    replicate_ratio: float
+    min_lists: int
+
+    def post(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the cells that hold them, each pair once."""
+        ids, dist = self.index.nearest(self.index.lift(x), self.max_copies, 32)
+        row, copy = np.nonzero(dist <= dist[:, :1] * self.replicate_ratio + 1e-12)
+        pairs = np.unique(np.stack([row, self.cell[ids[row, copy]]], axis=1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    def ratios(self, x: np.ndarray) -> np.ndarray:
+        """For queries by cells, the least ratio that opens the cell; 1 for those of the nearest lists."""
+        c, q = self.index.centroids, self.index.lift(x, query=True)
+        dist = np.maximum(0.0, (q * q).sum(1)[:, None] + (c * c).sum(1) - 2 * q @ c.T)
+        nearest = np.argpartition(dist, min(self.min_lists, len(c)) - 1, axis=1)[:, : self.min_lists]
+        order = np.argsort(self.cell, kind="stable")
+        least = np.minimum.reduceat(dist[:, order], np.flatnonzero(np.r_[True, np.diff(self.cell[order]) > 0]), axis=1)
+        base = least.min(1, keepdims=True)
+        out = np.where(least <= base + 1e-12, 1.0, least / np.maximum(base, 1e-300))
+        np.put_along_axis(out, self.cell[nearest], 1.0, axis=1)
+        return out
+
+
+def build_cells(index: Index, n: int, *, seed: int = 12, **options) -> Cells:
+    pick = np.random.default_rng(seed).choice(len(index.centroids), min(n, len(index.centroids)), replace=False)
+    cell = np.unique(_nearest_dense(index.centroids, index.centroids[pick]), return_inverse=True)[1].ravel()
+    return Cells(index, cell, **options)
+
+
+def calibrate(cells: Cells, sample: np.ndarray, *, k: int, total: int, recall: float) -> float:
+    """The least ratio at which queries of the sample meet ``recall`` of their neighbours.
+
+    Of ``total`` vectors' k nearest, about k * len(sample) / total lie in the sample.
+    """
+    if cells.cell.max() == 0 or len(sample) < 2:
+        return 1.0
+    near = int(np.clip(round(k * len(sample) / total), 1, len(sample) - 1))
+    n = min(len(sample), int(np.clip(4000 // near, 200, 2000)))
+    found, ratios = [], []
+    for a in range(0, n, 256):
+        q = sample[a : min(n, a + 256)]
+        score = q @ sample.T
+        score[np.arange(len(q)), a + np.arange(len(q))] = -np.inf
+        found.append(np.argpartition(-score, near - 1, axis=1)[:, :near])
+        ratios.append(cells.ratios(q))
+    found, ratios = np.vstack(found), np.vstack(ratios)
+    asked, where = np.unique(found, return_inverse=True)
+    held = np.zeros((len(asked), ratios.shape[1]), bool)
+    held[cells.post(sample[asked])] = True
+    where = where.reshape(found.shape)
+    needed = np.concatenate([np.where(held[w], r, np.inf).min(1) for w, r in zip(where, ratios, strict=True)])
+    return float(np.quantile(needed, recall, method="higher"))
+
+
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v (array<double>) of the rows that take part, of one length."""
     v = F.transform(F.col(vector_col), lambda c: c.cast("double"))
@@ -162,8 +230,9 @@ def search(
     max_copies: int = 4,
     prune_ratio: float = 1.6,
     min_lists: int = 24,
-    max_lists: int = 96,
-    block_rows: int = 2048,
+    recall: float = 0.995,
+    block_values: int = 2**21,
+    slice_rows: int = 16_384,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for ids divisible by ``every``, their k nearest others."""
     spark = vectors.sparkSession
@@ -181,65 +250,65 @@ def search(
     groups = write_and_read(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vector-groups")
     n_groups = groups.count()
 
-    # A bounded sample of distinct vectors, by hash.
-    sample = groups.select("v").orderBy(F.xxhash64(F.lit("sample"), "v")).limit(sample_rows).toPandas()
-    index = build_index(_stack(sample["v"]), facts["longest2"], list_rows=list_rows, max_centroids=max_centroids, total=n_groups)
-    shared = spark.sparkContext.broadcast(index)
+    # A bounded sample of distinct vectors, by hash: the first are fitted, those after them measure the ratio.
+    sample = _stack(groups.select("v").orderBy(F.xxhash64(F.lit("sample"), "v")).limit(2 * sample_rows).toPandas()["v"])
+    index = build_index(sample[:sample_rows], facts["longest2"], list_rows=list_rows, max_centroids=max_centroids, total=n_groups)
+    block_rows = max(1, block_values // sample.shape[1])
+    cells = build_cells(index, -(-n_groups // block_rows), max_copies=max_copies, replicate_ratio=replicate_ratio, min_lists=min_lists)
+    # fitted vectors lie nearer to the centroids than others; they count only where most of the table is fitted
+    unseen = sample[sample_rows:] if len(sample) >= 1.5 * sample_rows else sample
+    ratio = max(prune_ratio, calibrate(cells, unseen, k=k, total=n_groups, recall=recall))
+    shared = spark.sparkContext.broadcast(cells)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = shared.value
         for pdf in batches:
-            lifted = ix.lift(_stack(pdf["v"]))
-            ids, dist = ix.nearest(lifted, max_copies, 32)
-            take = dist <= dist[:, :1] * replicate_ratio + 1e-12
-            row, copy = np.nonzero(take)
-            yield pd.DataFrame({"list": ids[row, copy], "ids": pdf["ids"].to_numpy()[row], "v": pdf["v"].to_numpy()[row]})
+            if len(pdf):
+                row, cell = shared.value.post(_stack(pdf["v"]))
+                yield pd.DataFrame({"cell": cell, "ids": pdf["ids"].to_numpy()[row], "v": pdf["v"].to_numpy()[row]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = shared.value
         for pdf in batches:
-            lifted = ix.lift(_stack(pdf["v"]), query=True)
-            ids, dist = ix.nearest(lifted, max_lists, max_lists)
-            # distances to lifted points keep a common offset: the query's own length apart from the longest
-            base = np.maximum(0.0, dist[:, :1])
-            take = dist <= base * prune_ratio + 1e-12
-            take[:, :min_lists] = True
-            row, lst = np.nonzero(take)
-            yield pd.DataFrame({"list": ids[row, lst], "query_id": pdf["vec_id"].to_numpy()[row], "q": pdf["v"].to_numpy()[row]})
-
-    posted = groups.mapInPandas(post, "list long, ids array<long>, v array<double>")
-    posted = write_and_read(posted, "postings")
-    sizes = posted.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    sizes = write_and_read(sizes, "list-sizes")
+            for a in range(0, len(pdf), 256):
+                part = pdf.iloc[a : a + 256]
+                row, cell = np.nonzero(shared.value.ratios(_stack(part["v"])) <= ratio + 1e-12)
+                yield pd.DataFrame({"cell": cell, "query_id": part["vec_id"].to_numpy()[row], "q": part["v"].to_numpy()[row]})
+
+    posted = write_and_read(groups.mapInPandas(post, "cell long, ids array<long>, v array<double>"), "postings")
+    sizes = posted.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    sizes = write_and_read(sizes, "cell-sizes")
+    chosen = valid.where(F.col("vec_id") % every == 0).distinct()
+    slices = max(1, -(-chosen.count() // slice_rows))
     block = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks")).cast("int")
-    posted = posted.join(sizes, "list").select("list", block.alias("block"), "ids", "v")
-    queries = valid.where(F.col("vec_id") % every == 0).distinct().mapInPandas(ask, "list long, query_id long, q array<double>")
-    asked = queries.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q")
+    posted = posted.join(sizes, "cell").select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "ids", "v")
+    queries = chosen.mapInPandas(ask, "cell long, query_id long, q array<double>")
+    part = F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")
+    asked = queries.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("slice"), "query_id", "q")
 
     def scan(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         counts = right["ids"].map(len).to_numpy()
         flat = np.concatenate(right["ids"].to_numpy())
+        starts = np.cumsum(counts) - counts
         v = _stack(right["v"])
         found = []
         queries, names = _stack(left["q"]), left["query_id"].to_numpy()
-        for a in range(0, len(left), 256):
-            near = queries[a : a + 256] @ v.T
+        for a in range(0, len(left), 64):
+            near = queries[a : a + 64] @ v.T
             for i, scores in enumerate(near):
                 keep = np.argpartition(-scores, k)[: k + 1] if len(scores) > k + 1 else np.arange(len(scores))
                 least = scores[keep].min()
                 keep = np.flatnonzero(scores >= least - 1e-9)
-                member = np.repeat(np.isin(np.arange(len(v)), keep), counts)
-                ids, s = flat[member], np.repeat(scores[keep], counts[keep])
+                ids = np.concatenate([flat[starts[j] : starts[j] + counts[j]] for j in keep])
+                s = np.repeat(scores[keep], counts[keep])
                 other = ids != names[a + i]
                 ids, s = ids[other], s[other]
                 best = np.lexsort((ids, -s))[: 2 * k]
                 found.append((np.full(len(best), names[a + i]), ids[best], s[best]))
         return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
-    rough = asked.groupBy("list", "block").cogroup(posted.groupBy("list", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
-    # a vector in several lists is found several times
+    rough = asked.groupBy("cell", "block", "slice").cogroup(posted.groupBy("cell", "block", "slice")).applyInPandas(scan, "query_id long, vec_id long, score double")
+    # a vector in several cells is found several times
     rough = rough.groupBy("query_id", "vec_id").agg(F.max("score").alias("rough"))
     per_query = Window.partitionBy("query_id")
     close = rough.withColumn("r", F.row_number().over(per_query.orderBy(F.desc("rough"), "vec_id"))).where(F.col("r") <= 2 * k)

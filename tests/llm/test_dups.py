@@ -134,3 +134,17 @@ def test_neighbours_leave_out_what_has_no_place(spark):
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 20, -1.0), (20, 1, 1, -0.5), (20, 2, 2, -0.5), (20, 3, 0, -1.0)]
     assert search(df.where("vec_id > 100")).count() == 0
     assert search(df.where("vec_id = 20")).count() == 0
+
+
+def test_neighbours_recall_holds_with_many_lists(spark):
+    """Without clusters, as the table grows: the number of opened lists is not bounded."""
+    x = np.random.default_rng(3).normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(set)
+    for r in search(df, every=60, list_rows=8, sample_rows=5000, block_values=2**15).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    score = x[::60] @ x.T
+    score[np.arange(200), np.arange(0, 12_000, 60)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert sum(len(got[60 * i] & set(w.tolist())) for i, w in enumerate(want)) / want.size >= 0.98
