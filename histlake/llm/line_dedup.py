@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
 Lines are compared by their words, lower-cased. A line of at least ``min_words`` words that
-equals an earlier line is dropped; so is a line of at least ``near_min_words`` words within
-one word edit (one word put in, left out or replaced) of an earlier one, dropped or not.
-"Earlier" is by id, then line number. Other lines, and lines without a word, stay as they are.
+equals an earlier line is dropped; so is a line within one word edit (one word put in, left
+out or replaced) of an earlier one, dropped or not, if both have at least ``near_min_words``
+words: an edit is then at most that share of the shorter line. "Earlier" is by id, then line
+number. Other lines, and lines without a word, stay as they are.
 
 The join: every line emits a hashed key for each variant with one word deleted, and one for
 the whole line. Two lines of equal length that delete the same place to the same rest are one
@@ -138,7 +139,7 @@ def within_one_word(x: Column, y: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, *, min_words: int = 5, near_min_words: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, min_words: int = 1, near_min_words: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with later copies and near copies of lines cut from the text.
 

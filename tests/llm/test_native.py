@@ -149,3 +149,12 @@ def test_line_dedup_on_odd_rows(odd, odd_rows):
     assert texts[20] == {""}  # copies of document 0's lines
     assert texts[21] == {""}  # its first line is a copy, its second has one word more
     assert len(texts[20]) == 1
+
+
+def test_line_dedup_takes_short_lines(spark):
+    nine = "we thank all of our readers for their patience"
+    five = "terms of use and privacy"
+    rows = [(0, f"All rights reserved.\n{nine}\n{five}\nHome"), (1, f"all RIGHTS reserved.\n{nine} today\nterms of use or privacy\nhome\nhome page\n\n"), (2, "terms of sale\nterms of use")]
+    got = {r["doc_id"]: (r["text"], r["n_exact_dropped"], r["n_near_dropped"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (rows[0][1], 0, 0), 1: ("home page\n\n", 2, 2), 2: (rows[2][1], 0, 0)}
+    assert {d: t for d, (t, _, _) in got.items()} == brute_lines(rows, 1, 5)
