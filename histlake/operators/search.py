@@ -96,7 +96,7 @@ def exclude_threads(rows: DataFrame, bridge: DataFrame, occurrences: DataFrame,
 class SearchSpec:
     query: str
     mode: str = "any"
-    limit: int = 10
+    limit: int | None = 10
     exclude: tuple[str, ...] = ()
     aliases: tuple[tuple[str, str], ...] = ()
     filters: Filters = field(default_factory=Filters)
@@ -129,7 +129,7 @@ def search(knowledge: DataFrame, spec: SearchSpec, semantic: DataFrame | None =
     Candidates are the per-tier best by BM25 of bodies and of titles, what contains a term in
     its body or title, and ``semantic`` (record_id, similarity). Body and title are searched
     in one pass; the query's terms are literals, so nothing but the statistics row and the
-    candidates of each tier is exchanged.
+    candidates of each tier is exchanged. Without a limit there are no per-tier quotas either.
     """
     wanted, unwanted = parse_terms(spec.query, spec.exclude)
     groups = alias_groups(wanted, spec.aliases)
@@ -142,7 +142,6 @@ def search(knowledge: DataFrame, spec: SearchSpec, semantic: DataFrame | None =
     in_body = [_has(F.col("__body"), g) for g in groups]
     in_title = [~b & _has(F.col("__title"), g) for b, g in zip(in_body, groups, strict=True)]
     rows = rows.withColumns({"__nb": _sum(in_body), "__nt": _sum(in_title)})
-    quota = max(C.LEXICAL_QUOTA * spec.limit, C.LEXICAL_LEAST)
     if semantic is None:
         rows = rows.withColumn("similarity", F.lit(None).cast("double"))
     else:
@@ -154,11 +153,14 @@ def search(knowledge: DataFrame, spec: SearchSpec, semantic: DataFrame | None =
         accepted = near
     else:
         accepted = (n > 0) | near
-    rows = rows.where(accepted)
+    # a hash, so that no text is exchanged
+    rows = rows.where(accepted).withColumn("__key", F.sha2(F.lower(normalize_text("text", ASCII_BLANK)), 256))
     tf = bm25(knowledge.where(predicate(spec.filters)).select("record_id", *BODY), BODY, wanted, groups=groups).select("record_id", "bm25")
     per_tier = Window.partitionBy("tier").orderBy(F.desc_nulls_last("bm25"), "record_id")
-    ranked = rows.join(tf, "record_id", "left").withColumn("__place", F.row_number().over(per_tier))
-    ranked = ranked.where((F.col("__place") <= quota) | near)
+    ranked = rows.join(tf, "record_id", "left")
+    if spec.limit is not None:
+        quota = max(C.LEXICAL_QUOTA * spec.limit, C.LEXICAL_LEAST)
+        ranked = ranked.withColumn("__place", F.row_number().over(per_tier)).where((F.col("__place") <= quota) | near)
     strength = _pick(C.STATUS_STRENGTH, "status_group", 0)
     score = C.BODY_WEIGHT * F.col("__nb") + C.TITLE_WEIGHT * F.col("__nt") + F.coalesce("similarity", F.lit(0.0)) + _pick(C.TIER_BONUS, "tier", 0.0) + C.STRENGTH_WEIGHT * strength
     tier_place = _pick({t: i for i, t in enumerate(C.ALL_TIERS)}, "tier", len(C.ALL_TIERS))
@@ -167,12 +169,16 @@ def search(knowledge: DataFrame, spec: SearchSpec, semantic: DataFrame | None =
         F.asc("__title_only"), F.desc("score"), F.desc("__nb"), F.desc(n), F.desc(F.coalesce("similarity", F.lit(-1.0))), F.asc("__tier"), F.desc_nulls_last("bm25"),
         F.desc("__strength"), F.desc("evidence_count"), F.desc_nulls_last("occurred_end"), F.asc("record_id"),
     ]
-    ranked = ranked.withColumn("__key", F.lower(normalize_text("text", ASCII_BLANK)))
     same = Window.partitionBy("tier", "__key")
-    collapsed = ranked.withColumns(
-        {"__first": F.row_number().over(same.orderBy(*order)), "__all": F.collect_list("record_id").over(same), "__n": F.count("*").over(same)}
-    ).where("__first = 1")
-    top = collapsed.orderBy(*order).limit(spec.limit)
+    # an aggregate over the numbered rows: a list per group, not one per row of it
+    shown = ["record_id", "scope_id", "score", "similarity", "bm25", "evidence_count", "occurred_end", "__nb", "__nt", "__title_only", "__strength", "__tier"]
+    collapsed = (
+        ranked.withColumn("__first", F.row_number().over(same.orderBy(*order)))
+        .groupBy("tier", "__key")
+        .agg(F.min_by(F.struct(*shown), "__first").alias("__row"), F.collect_list("record_id").alias("__all"), F.count("*").alias("__n"))
+        .select("tier", "__row.*", "__all", "__n")
+    )
+    top = collapsed if spec.limit is None else collapsed.orderBy(*order).limit(spec.limit)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     others = F.array_sort(F.filter("__all", lambda r: r != F.col("record_id")))
     return top.select(

@@ -156,7 +156,7 @@ def semantic_search(spark, sf):
     with_(KNOWLEDGE_SQL, search_sql([["e"]], limit=1000)) + "SELECT record_id, duplicate_count, duplicates FROM found WHERE duplicate_count > 0",
 )
 def collapse_duplicates(spark, sf):
-    found = S.search(knowledge(spark, sf), S.SearchSpec("e", limit=1000))
+    found = S.search(knowledge(spark, sf), S.SearchSpec("e", limit=None))
     return found.where("duplicate_count > 0").select("record_id", "duplicate_count", "duplicates")
 
 

@@ -54,3 +54,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the generated tables")
+def test_collapse_duplicates_reports_every_group(spark):
+    """Beyond the 1,000 best ranked, too: the SQL of the search with a limit above the table's rows."""
+    from histlake.plans.projection import KNOWLEDGE_SQL, with_
+    from histlake.plans.retrieval import search_sql
+
+    sf, con = "/root/testdata/sf0.1", duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    sql = with_(KNOWLEDGE_SQL, search_sql([["e"]], limit=1_000_000)) + "SELECT record_id, duplicate_count, duplicates FROM found WHERE duplicate_count > 0"
+    got = sorted(tuple(r) for r in registry.QUERIES["collapse_duplicates"](spark, sf).collect())
+    assert got == sorted(con.execute(sql).fetchall())
