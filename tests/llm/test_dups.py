@@ -148,3 +148,23 @@ def test_neighbours_recall_holds_with_many_lists(spark):
     score[np.arange(200), np.arange(0, 12_000, 60)] = -np.inf
     want = np.argsort(-score, axis=1)[:, :20]
     assert sum(len(got[60 * i] & set(w.tolist())) for i, w in enumerate(want)) / want.size >= 0.98
+
+
+def test_sketch_cut_is_far_below_the_bound(spark):
+    """Of pairs at similarity 0.75, one in 5,000 at most may differ in more of its 512 places than the filter allows."""
+    from math import comb
+
+    from histlake.llm.near_dups import _may_link
+
+    def row(differ):
+        words = [0] * 32  # 32 bits each, 16 places of two bits
+        for i in range(differ):
+            words[i // 16] |= 1 << 2 * (i % 16)
+        longs = [words[2 * i] | words[2 * i + 1] << 32 for i in range(16)]
+        return (differ, 100, 100, [0] * 16, [x - 2**64 if x >= 2**63 else x for x in longs])
+
+    rows = spark.createDataFrame([row(d) for d in range(513)], "differ int, an int, bn int, ak array<long>, bk array<long>")
+    passed = {r["differ"] for r in rows.where(_may_link("a", "b", 75, 512)).select("differ").collect()}
+    p = 0.25 * 0.75  # a differing minhash agrees in two bits by chance
+    lost = sum(comb(512, d) * p**d * (1 - p) ** (512 - d) for d in range(513) if d not in passed)
+    assert 0 < lost < 2e-4
