@@ -151,6 +151,10 @@ class TokenShard:
     def name(self, i: int) -> int | None:
         return self.doc_ids.select(i) + self.head["least_id"] if i < self.doc_ids.n else None
 
+    def entries(self) -> tuple[list[int | None], np.ndarray]:
+        """Names of the documents, and their starts with the last one's end, each by select."""
+        return [self.name(i) for i in range(len(self))], np.array([self.start(i) for i in range(len(self) + 1)], dtype=np.int64)
+
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.start(i) : self.start(i + 1)]
 
@@ -219,12 +223,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 store, name = _filesystem(file)
                 with store.open_input_stream(name) as source:
                     shard = TokenShard(source.read())
-                ends = shard.bounds.values()
-                starts = np.concatenate([[0], ends[:-1]])
-                known = shard.doc_ids.values() + shard.head["least_id"]
+                names, places = shard.entries()
+                starts, ends = places[:-1], places[1:]
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array([*known.tolist(), *[None] * shard.head["null_ids"]], dtype="Int64"),
+                        "doc_id": pd.array(names, dtype="Int64"),
                         "start": starts + first,
                         "n_tokens": ends - starts,
                         "ids_crc32": [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)],

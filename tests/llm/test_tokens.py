@@ -114,3 +114,18 @@ def test_packed_documents(odd, odd_rows, empty):
     one = sorted((r["start"], np.frombuffer(r["ids"], "<u4").tolist()) for r in docs[25])
     assert [x for _, ids in one for x in ids] == next(ids for d, ids in want if d == 25)
     assert pack_documents(empty, path).count() == 0
+
+
+def test_token_files_are_read_by_select(spark, tmp_path, monkeypatch):
+    from histlake.llm import token_files as T
+    from histlake.llm.packing import tokenizer_path
+
+    docs = spark.createDataFrame([(3, "one two"), (9, ""), (None, "three"), (5, "four five six")], "doc_id long, text string")
+    manifest = T.write_token_files(docs, tokenizer_path("word_bpe_49k.json"), f"file://{tmp_path}/t", id_bytes=2)
+    read = {r["doc_id"]: (r["start"], r["n_tokens"]) for r in T.read_token_files(manifest).collect()}
+    store, name = T._filesystem(manifest.first()["file"])
+    shard = T.TokenShard(store.open_input_stream(name).read())
+    monkeypatch.setattr(T.EliasFano, "values", None)
+    names, places = shard.entries()
+    assert names == [3, 5, 9, None]
+    assert read == {d: (a, b - a) for d, a, b in zip(names, places[:-1], places[1:], strict=True)}
