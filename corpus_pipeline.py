@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histlake.llm.common import OWN, n_words
-from histlake.llm.line_dedup import OUTPUTS as LINE_OUTPUTS
 from histlake.llm.line_dedup import dedup_lines
 from histlake.llm.mixing import mix_documents
 from histlake.llm.near_dups import keep_first_of_groups
@@ -28,8 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies and near copies of lines go; so does a document that is left without a word by it."""
-    before = docs.withColumn(f"{OWN}words", n_words("text"))
-    out = dedup_lines(before).drop(*LINE_OUTPUTS)
+    out = dedup_lines(docs.withColumn(f"{OWN}words", n_words("text")), counts=False)
     out = out.where((n_words("text") > 0) | (F.col(f"{OWN}words") == 0))
     columns = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.withColumns(columns).select(*docs.columns)
