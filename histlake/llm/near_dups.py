@@ -6,8 +6,9 @@ MinHash are formed by tensoring: from two collections of ``halves`` small hashes
 of ``2 * rows`` minhashes thus take only ``2 * halves * rows`` minhash functions instead of
 ``2 * halves**2 * rows``: 16 and 4 here, so 256 tables of 8 rows from 128 functions. Two sets
 of similarity s share a key with probability (1 - (1 - s^4)^16)^2: 0.995 at 0.75. Two bits of
-each of ``sketch`` minhashes estimate a pair's similarity; a pair whose estimate is three
-standard deviations below the bound (one in 700 at the bound) is no candidate.
+each of ``sketch`` minhashes estimate a pair's similarity; a pair whose estimate is 3.7 standard
+deviations below the bound (one in 7,000 at the bound) is no candidate. ``sketch=0`` leaves
+this filter out: then every pair that shares a key is held against its full sets.
 
 Candidates become links only if 100 * intersection >= 75 * union on the full sets. Components
 of the links are groups; a group keeps its smallest id.
@@ -23,11 +24,13 @@ Skew and blow-up:
   star pairs between different components.
 * Only then, so that no link between different texts is lost to the stars, come the pairs
   that share a key across components: of a bucket's largest component, only with the
-  bucket's other members. They are found by their first common half key on one side, checked
-  for one on the other side, so each pair arises once, and not once per table.
+  bucket's other members. A pair arises at the first key that it shares, not once per table.
 * Components are found by alternating large and small stars over written tables, never on
   the driver.
 
+One path serves every size: texts and links are exchanged by key, nothing is broadcast by
+this code, and each step's shuffle files and the tables it replaces go before the next one.
+
 Defined cases: a null text, or one without words, has an empty set (n_shingles 0) and is
 linked with nothing; texts of any length are taken whole; a null id is linked with nothing,
 has a null component and is kept; rows that repeat an id count as one document that has each
@@ -40,7 +43,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +51,6 @@ from histlake.llm.common import OWN, without
 from histlake.sources import read_table, write_and_read
 
 OUTPUTS = ("n_shingles", "component_id", "kept")
-#: Components of so many links (16 bytes each) are found in one task.
-EDGES_IN_A_TASK = 200_000
-#: Up to so many ids (8 bytes each) are broadcast to find their texts; more are joined by a shuffle of the texts.
-BROADCAST_NODES = 1_000_000
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,48 +117,45 @@ def signatures(docs: DataFrame, *, words: int, halves: int, rows: int, sketch: i
     """id, n (set size), s1, s2 (128-bit hash of the set), h (half keys), k (sketch); empty sets have nulls."""
     import hashlib
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    schema = pa.schema([("id", long), ("n", long), ("s1", long), ("s2", long), ("h", longs), ("k", longs)])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, params = Shingler(words), minhash_parameters(max(sketch, 2 * halves * rows), seed)
-        for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at : at + 1024]
-                rows_ = []
-                for i, t in zip(part["i"], part["t"], strict=True):
-                    s = shingle(t if isinstance(t, str) else "")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    s = shingle(t)
                     if not len(s):
-                        rows_.append((i, 0, None, None, None, None))
+                        out.append((i, 0, None, None, None, None))
                         continue
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     s1, s2 = np.frombuffer(digest, "<i8").tolist()
                     least = minhashes(s, params)
-                    rows_.append((i, len(s), s1, s2, half_keys(least, halves, rows).view(np.int64).tolist(), sketch_bits(least[:sketch]).tolist()))
-                out = pd.DataFrame(rows_, columns=["i", "n", "s1", "s2", "h", "k"])
-                out["s1"], out["s2"] = (pd.array([r[k] for r in rows_], dtype="Int64") for k in (2, 3))
-                yield out
+                    out.append((i, len(s), s1, s2, half_keys(least, halves, rows).view(np.int64), sketch_bits(least[:sketch])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    narrow = docs.select(F.col(id_col).cast("long").cast("string").alias("i"), F.col(text_col).alias("t"))
-    signed = narrow.mapInPandas(sign, "i string, n long, s1 long, s2 long, h array<long>, k array<long>")
-    return signed.withColumn("i", F.col("i").cast("long")).withColumnRenamed("i", "id")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    return narrow.mapInArrow(sign, "id long, n long, s1 long, s2 long, h array<long>, k array<long>")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, component (its smallest node) for edges (a, b), by alternating large and small stars."""
     edges = write_and_read(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
-    # few edges meet in one task, where nothing need be exchanged; more are dealt out by node
-    few = edges.limit(EDGES_IN_A_TASK + 1).count() <= EDGES_IN_A_TASK
-    packed = (lambda df: df.coalesce(1)) if few else (lambda df: df)
     before = None
     while True:
-        both = packed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))))
+        both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: what is larger than the node hangs on its smallest neighbour
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: what is smaller, and the node itself, hang on the smallest
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = write_and_read(packed(small.union(down.select("a", F.col("m").alias("b")))).distinct(), label)
+        edges = write_and_read(small.union(down.select("a", F.col("m").alias("b"))).distinct(), label, replaces=[edges])
         # a sum of hashes changes if any edge does (decimal: no overflow)
-        now = tuple(packed(edges).agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
@@ -170,6 +165,8 @@ def _may_link(a: str, b: str, percent: int, sketch: int) -> Column:
     """Whether sizes and sketches allow the similarity. ``a``, ``b``: prefixes of n and k."""
     na, nb, ka, kb = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}k"), F.col(f"{b}k")
     sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    if not sketch:
+        return sizes
     differ = F.lit(0)
     for i in range(sketch // 32):
         x = F.get(ka, F.lit(i)).bitwiseXOR(F.get(kb, F.lit(i)))
@@ -203,9 +200,11 @@ def near_duplicates(
     links = _links(docs, nodes, words=words, percent=percent, halves=halves, sketch=sketch, id_col=id_col, text_col=text_col)
     found = components(links)
     # rows of one id with different sets are one document
-    names = full.select("s1", "s2", "id").join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
+    nodes = full.groupBy("s1", "s2").agg(F.min("id").alias("node"))
+    names = full.select("s1", "s2", "id").join(nodes, ["s1", "s2"])
     named = names.join(found, "node", "left").select("s1", "s2", "id", F.coalesce("component", "node").alias("component"))
     named = named.distinct()
+    named = write_and_read(named, "members", replaces=[links])
     own = signed.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "id"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return own.select(
@@ -233,28 +232,28 @@ def _links(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int, halve
     )
     pieces = write_and_read(pieces, "half-keys")
     keys = pieces.select("node", "central", F.explode("first").alias("x"), "second").select("node", "central", "x", F.explode("second").alias("y"))
-    keys = keys.select("node", "central", F.xxhash64("x.place", "x.half", "y.place", "y.half").alias("key"))
-    keys = write_and_read(keys, "keys")
+    keys = keys.select("node", "central", F.col("x.place").alias("i"), F.col("y.place").alias("j"), F.xxhash64("x.place", "x.half", "y.place", "y.half").alias("key"))
+    keys = write_and_read(keys, "keys", replaces=[pieces])
     several = keys.groupBy("key").agg(F.count("*").alias("members"), F.max_by("node", F.struct("central", "node")).alias("star")).where("members > 1").select("key", "star")
-    stars = keys.join(several, "key").groupBy(F.col("node").alias("a"), F.col("star").alias("b")).agg(F.count("*").alias("times"))
-    stars = write_and_read(stars, "stars")
+    keys = write_and_read(keys.join(several, "key").select("key", "star", "node", "i", "j"), "shared-keys", replaces=[keys])
+    stars = write_and_read(keys.groupBy(F.col("node").alias("a"), F.col("star").alias("b")).agg(F.count("*").alias("times")), "stars")
     inside = stars.select(F.col("a").alias("node")).distinct()  # every member of a shared bucket, centres too
 
-    facts = write_and_read(nodes.join(inside, "node", "left_semi").select("node", "n", "k", "h"), "facts")
+    facts = write_and_read(nodes.join(inside, "node", "left_semi").select("node", "n", "k", "h"), "facts", replaces=[nodes])
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
-    small = facts.count() <= BROADCAST_NODES
-    wanted = texts.join(F.broadcast(facts.select("node")) if small else inside, "node", "left_semi")
+    wanted = texts.join(facts.select("node").hint("merge"), "node", "left_semi").dropDuplicates()
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                found = [shingle(t if isinstance(t, str) else "").view(np.int64) for t in part["t"]]
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "s": found})
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [shingle(t).view(np.int64) for t in part.column(1).to_pylist()]
+                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], ["node", "s"])
 
     # full sets of these nodes: from whole texts, once
-    full = write_and_read(wanted.mapInPandas(sets, "node long, s array<long>"), "sets")
+    full = write_and_read(wanted.mapInArrow(sets, "node long, s array<long>"), "sets")
 
     def possible(pairs: DataFrame) -> DataFrame:
         a, b = (facts.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("k").alias(f"{x}k")) for x in "ab")
@@ -269,7 +268,7 @@ def _links(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int, halve
         return facts.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
 
     # 1. each node with its most frequent star
-    stars = write_and_read(possible(stars.where("a <> b")), "star-pairs")
+    stars = write_and_read(possible(stars.where("a <> b")), "star-pairs", replaces=[stars])
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
     links = write_and_read(verified(best), "links")
 
@@ -283,22 +282,22 @@ def _links(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int, halve
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    links = write_and_read(links.union(verified(across)), "links")
+    links = write_and_read(links.union(verified(across)), "links", replaces=[links, stars, names])
 
-    # 3. pairs that share a key across components, by their first common half key
+    # 3. pairs that share a key across components, at the first key that both have
     names = labelled(components(links))
-    placed = pieces.select("node", F.explode("first").alias("x")).select("node", "x.place", "x.half").join(names, "node")
-    sizes = placed.groupBy("place", "half", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("place", "half").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1").drop("parts")
-    rows_ = placed.join(main, ["place", "half"]).join(facts, "node")
-    rows_ = write_and_read(rows_.select("place", "half", "node", "c", (F.col("c") == F.col("main")).alias("main"), "n", "k", "h"), "mixed")
+    placed = keys.select("key", "node", "i", "j").join(names, "node")
+    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1").drop("parts")
+    rows_ = placed.join(main, "key").join(facts, "node")
+    rows_ = write_and_read(rows_.select("key", "i", "j", "node", "c", (F.col("c") == F.col("main")).alias("main"), "n", "k", "h"), "mixed", replaces=[keys])
     left, right = (rows_.select(*[F.col(c).alias(f"{x}{c}") for c in rows_.columns]) for x in "ab")
     same = F.zip_with("ah", "bh", lambda p, q: p == q)
-    once = (F.array_position(F.slice(same, 1, halves), True) == F.col("aplace") + 1) & F.array_contains(F.slice(same, halves + 1, halves), True)
+    once = (F.array_position(F.slice(same, 1, halves), True) == F.col("ai") + 1) & (F.array_position(F.slice(same, halves + 1, halves), True) == F.col("aj") + 1 - halves)
     other = ~F.col("amain") & (F.col("bmain") | (F.col("anode") < F.col("bnode"))) & (F.col("ac") != F.col("bc"))
-    on = (F.col("aplace") == F.col("bplace")) & (F.col("ahalf") == F.col("bhalf"))
-    rest = left.join(right, on & other & _may_link("a", "b", percent, sketch) & once).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
-    return links.union(verified(write_and_read(rest, "rest")))
+    rest = left.join(right, (F.col("akey") == F.col("bkey")) & other & _may_link("a", "b", percent, sketch) & once).select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+    rest = write_and_read(rest.distinct(), "rest", replaces=[rows_])
+    return write_and_read(links.union(verified(rest)), "links", replaces=[links, rest, facts, full])
 
 
 def keep_first_of_groups(docs: DataFrame, **options) -> DataFrame:

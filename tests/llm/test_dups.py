@@ -66,6 +66,32 @@ def test_a_large_group_of_copies(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_recall_near_the_bound(spark):
+    """Pairs of similarity 0.70 to 0.80: none is linked wrongly, and few are missed; with no sketch, too."""
+    rng = random.Random(9)
+    rows = []
+    for doc in range(0, 500, 2):
+        base = [f"w{doc}_{i}" for i in range(200)]
+        other = list(base)
+        for at in range(rng.randint(2, 12) * 15 - 15, 195, 25):
+            other[at] = f"x{at}"
+        while len(rows) <= doc + 1:
+            rows.append((len(rows), " ".join(base if len(rows) == doc else other)))
+    # edits spaced so that each takes five shingles: 5 to 6 of them are just around the bound
+    rows += [(1000 + 2 * k + side, " ".join(f"v{k}_{i}" if not side or i % 33 or not i else f"y{k}_{i}" for i in range(196 + k % 8))) for k in range(250) for side in (0, 1)]
+    sets = {d: shingles(t) for d, t in rows}
+    similar = {d: len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) for d in sets if d % 2 == 0}
+    near = [d for d, s in similar.items() if 0.70 <= s <= 0.80]
+    assert len(near) > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for sketch in (512, 0):
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, sketch=sketch).collect()}
+        linked = {d for d in similar if got[d] == got[d + 1]}
+        true = {d for d in similar if 100 * len(sets[d] & sets[d + 1]) >= 75 * len(sets[d] | sets[d + 1])}
+        assert linked <= true
+        assert len(linked & set(near)) >= 0.97 * len(true & set(near))
+
+
 def test_odd_rows(odd, odd_rows, empty):
     got = near_duplicates(odd).collect()
     assert len(got) == len(odd_rows)
