@@ -1,12 +1,14 @@
 """Mixing, sharding and line dedup against brute force in plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from histlake.llm.line_dedup import dedup_lines
 from histlake.llm.mixing import mix_documents, mix_plan
@@ -34,26 +36,59 @@ def fill(sizes, weights, ratio, epochs):
     return targets
 
 
-def test_mix_matches_a_plain_queue(spark, odd, odd_rows):
-    got = mix_plan(odd).collect()
-    assert len(got) == len(odd_rows)
-    by_source = defaultdict(list)
-    for row in odd_rows:
-        by_source[row[2]].append((hashlib.md5(f"mix:{'null' if row[0] is None else row[0]}".encode()).hexdigest(), row[0] or 0, len(words(row[1]))))
-    names = sorted((s for s in by_source if s is not None)) + [None]
-    sizes = [sum(x[2] for x in by_source[s]) for s in names]
-    targets = fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5, 2)
-    want = Counter()
-    for name, size, target in zip(names, sizes, targets, strict=True):
-        start, goal = 0, int(target + 0.5)
-        for _, _, n in sorted(by_source[name]):
-            taken = sum(max(0, min(n, goal - e * size - start)) for e in (0, 1))
-            want[(name, n, taken)] += 1
-            start += n
-    assert Counter((r["source"], r["size"] if isinstance(r["size"], int) else int(r["size"]), r["taken"]) for r in got) == want
-    for name, target in zip(names, targets, strict=True):
-        assert abs(sum(r["taken"] for r in got if r["source"] == name) - target) <= 0.5
+def queue(rows, packet, ratio=1.5, epochs=2, weights=(5, 2, 1)):
+    """Words taken of each (source, id, text), and the targets: sources send packets in turn, whichever would finish first."""
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    names = sorted({r[2] for r in rows if r[2] is not None}) + [None] * any(r[2] is None for r in rows)
+    docs = {s: sorted((md5(f"mix:{'null' if r[0] is None else r[0]}:{md5(r[1] or '')}"), n, len(words(r[1]))) for n, r in enumerate(rows) if r[2] == s) for s in names}
+    sizes = [sum(d[2] for d in docs[s]) for s in names]
+    targets = fill(sizes, [weights[i % len(weights)] for i in range(len(names))], ratio, epochs)
+
+    def packets(k):
+        sent = 0
+        for _ in range(epochs):
+            for _, n, size in docs[names[k]]:
+                for at in range(0, size, packet):
+                    sent += min(packet, size - at)
+                    yield sent / targets[k], k, n, min(packet, size - at)
+
+    waiting = [(p, it) for p, it in ((next(it, None), it) for it in map(packets, range(len(names)))) if p]
+    left, taken = min(math.floor(ratio * sum(sizes) + 0.5), epochs * sum(sizes)), Counter()
+    while left and waiting:
+        first = min(range(len(waiting)), key=lambda i: waiting[i][0][:2])
+        (_, _, n, size), it = waiting[first]
+        taken[n] += min(size, left)
+        left -= min(size, left)
+        following = next(it, None)
+        waiting[first : first + 1] = [(following, it)] if following else []
+    return taken, dict(zip(names, targets, strict=True))
+
+
+@pytest.mark.parametrize("packet", [7, 256])
+def test_mix_matches_a_queue(spark, odd, odd_rows, packet):
+    got = mix_plan(odd, packet_words=packet, bucket_rows=2).collect()
+    taken, targets = queue(odd_rows, packet)
+    assert Counter((r["doc_id"], r["text"], r["source"], int(r["size"]), r["taken"]) for r in got) == Counter((r[0], r[1], r[2], len(words(r[1])), taken[n]) for n, r in enumerate(odd_rows))
+    for name, target in targets.items():
+        assert abs(sum(r["taken"] for r in got if r["source"] == name) - target) <= 2 * packet
         assert all(abs(r["target"] - target) < 1e-6 for r in got if r["source"] == name)
+    total = sum(int(r["size"]) for r in got)
+    assert sum(r["taken"] for r in got) == math.floor(1.5 * total + 0.5)
+
+
+def test_mix_of_rows_all_alike(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.lit(5)).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
+    got = mix_plan(rows).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("taken").alias("most")).collect()
+    assert sum(r["taken"] for r in got) == 135_000
+    assert all(abs(r["taken"] - r["target"]) <= 6 and r["most"] <= 6 for r in got)
+
+
+def test_mix_leaves_columns_of_its_own_names_alone(spark):
+    rows = [(i, "some words here", "s", 17, "mine", "so", 1.5, "x", 3) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, size string, target string, finish double, taken string, source_size int")
+    mixed = mix_documents(docs)
+    assert mixed.dtypes == docs.dtypes
+    assert {tuple(r)[4:] for r in mixed.collect()} == {("mine", "so", 1.5, "x", 3)}
 
 
 def test_mix_gives_whole_documents_in_order(spark, odd):
@@ -158,3 +193,13 @@ def test_line_dedup_takes_short_lines(spark):
     got = {r["doc_id"]: (r["text"], r["n_exact_dropped"], r["n_near_dropped"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: (rows[0][1], 0, 0), 1: ("home page\n\n", 2, 2), 2: (rows[2][1], 0, 0)}
     assert {d: t for d, (t, _, _) in got.items()} == brute_lines(rows, 1, 5)
+
+
+def test_shards_of_rows_all_alike(spark):
+    """No bucket takes all of a row that fills the table, with an id or without."""
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same words").alias("text"))
+    rows = rows.union(spark.range(20_000).select(F.lit(7).alias("doc_id"), F.lit("other words").alias("text"))).repartition(5)
+    out = shard_documents(rows, 7, bucket_bytes=20_000)
+    counts = {r["shard"]: (r["n"], r["slots"], r["last"]) for r in out.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()}
+    assert sorted(counts) == list(range(7)) and sum(n for n, _, _ in counts.values()) == 40_000
+    assert all(n == slots == last + 1 and n in (5714, 5715) for n, slots, last in counts.values())
