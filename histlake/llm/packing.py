@@ -8,7 +8,7 @@ roomiest ones, so a block of documents leaves less than one sequence of padding.
 
 Scale: documents are packed in blocks within the task that reads them; there is no exchange
 and nothing grows with the table. A block ends at ``block_tokens`` (some thousand sequences)
-or with its partition. Sequence ids are (partition, block, number) in one long, so they are
+or with its partition; a worker holds a block of ids, a few texts and a cache of bounded bytes. Sequence ids are (partition, block, number) in one long, so they are
 unique without any count over the table; a task that runs again gives the same ids.
 
 Defined cases: a null text is an empty one: its document is the end id alone; a null id is
@@ -23,8 +23,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from histlake.llm.tokens import worker_encoder
 from histlake.sources import read_table
@@ -103,7 +104,11 @@ def pack_documents(
     """
     quad = 4.0 / capacity if quadratic is None else quadratic
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("cost", pa.float64())]
+    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = worker_encoder(tokenizer)
@@ -113,15 +118,15 @@ def pack_documents(
         names: list = []
         tokens = 0
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, ids, names, tokens
             base = task + (block << SEQUENCE_BITS)
             placed = assign([len(x) for x in ids], capacity, linear, quad)
-            for at in range(0, len(placed), 8192):
-                rows = placed[at : at + 8192]
-                yield pd.DataFrame(
+            for at in range(0, len(placed), 1024):
+                rows = placed[at : at + 1024]
+                yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pd.array([names[d] for d, *_ in rows], dtype="Int64"),
+                        "doc_id": [names[d] for d, *_ in rows],
                         "start": [x[1] for x in rows],
                         "length": [x[2] for x in rows],
                         "ids": [ids[x[0]][x[1] : x[1] + x[2]].tobytes() for x in rows],
@@ -129,26 +134,27 @@ def pack_documents(
                         "sequence_id": [base + x[3] for x in rows],
                         "offset": [x[4] for x in rows],
                         "cost": [linear * x[2] + quad * x[2] ** 2 for x in rows],
-                    }
+                    },
+                    schema=schema,
                 )
             block, ids, names, tokens = block + 1, [], [], 0
 
         end = np.array([end_id], dtype="<u4")
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                texts = [t if isinstance(t, str) else "" for t in part["t"]]
-                for name, found in zip(part["i"], encoder.encode(texts), strict=True):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for name, found in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     ids.append(np.concatenate([found, end]))
-                    names.append(None if pd.isna(name) else int(name))
+                    names.append(name)
                     tokens += len(found) + 1
                     if tokens >= block_tokens:
                         yield from flush()
         if ids:
             yield from flush()
 
-    narrow = docs.selectExpr(f"cast(cast(`{id_col}` as long) as string) as i", f"`{text_col}` as t")
-    return narrow.mapInPandas(pack, PIECES)
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    return narrow.mapInArrow(pack, PIECES)
 
 
 def tokenizer_path(name: str) -> str:

@@ -2,7 +2,8 @@
 
 Encoding whole texts at about 1 MB a second and core would cost more than all else. The two
 kinds of vocabulary here never merge across certain blanks, so a text's ids are those of its
-chunks, one after the other; most chunks are words seen before. The cache is bounded.
+chunks, one after the other; most chunks are words seen before. The cache is bounded in bytes,
+and what was asked for lately stays in it; long texts are cut into chunks bit by bit.
 
 * "bytes": byte-level BPE whose pre-tokenizer gives a word its one preceding blank, and a run
   of blanks all but its last; a run of letters and a run of marks are always parted (but for
@@ -50,14 +51,18 @@ def _byte_letters() -> dict[int, str]:
 
 _BYTES = _byte_letters()
 
-#: Chunks kept in a worker's cache, about 200 bytes each; the oldest half goes when it is full.
-CACHE_CHUNKS = 1_000_000
+#: Bytes of a worker's cache, of which one half is what was asked for since the other was full.
+CACHE_BYTES = 80 << 20
+#: What a chunk takes in it besides its characters and ids.
+_ENTRY = 120
+#: Texts are cut into chunks so many characters at a time, or so many chunks of a longer one.
+_CHARS, _CHUNKS = 500_000, 100_000
 
 
 class ChunkEncoder:
     """Token ids of texts as uint32 arrays."""
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -70,21 +75,32 @@ class ChunkEncoder:
         trial = ["word", "\xc4rger", "**", ".,", "ab" * 30, "Q", "\xe9"] + ([" word", " ,", " \xfc"] if self.kind == "bytes" else [])
         self.pieces = self.kind != "whole" and all(self._piece(t) == ids for t, ids in zip(trial, self._ids(trial), strict=True))
         self.cache: dict[str, bytes] = {}
-        self.cache_chunks = cache_chunks
+        self.older: dict[str, bytes] = {}
+        self.taken, self.most = 0, cache_bytes // 2
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.kind == "whole":
             return [np.array(ids, dtype="<u4") for ids in self._ids(texts)]
         out: list[np.ndarray] = []
-        for batch in _by_length(texts):
-            cut = [self.pattern.findall(t) for t in batch]
-            if len(self.cache) > self.cache_chunks:
-                for chunk in list(islice(self.cache, self.cache_chunks // 2)):
-                    del self.cache[chunk]
-            self._learn(list(set(chain.from_iterable(cut)).difference(self.cache)))
-            out += [np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), dtype="<u4") for chunks in cut]
+        for batch in _by_length(texts, _CHARS):
+            if len(batch) == 1 and len(batch[0]) > _CHARS:
+                found = (m.group() for m in self.pattern.finditer(batch[0]))
+                parts = [self._encode_cut([part])[0] for part in iter(lambda: list(islice(found, _CHUNKS)), [])]
+                out.append(np.concatenate(parts) if parts else np.zeros(0, "<u4"))
+            else:
+                out += self._encode_cut([self.pattern.findall(t) for t in batch])
         return out
 
+    def _encode_cut(self, cut: list[list[str]]) -> list[np.ndarray]:
+        if self.taken > self.most:
+            self.older, self.cache, self.taken = self.cache, {}, 0
+        new = set(chain.from_iterable(cut)).difference(self.cache)
+        known = {c: self.older[c] for c in new.intersection(self.older)} if self.older else {}
+        self.cache.update(known)
+        self._learn(list(new.difference(known)))
+        self.taken += sum(_ENTRY + len(c) + len(self.cache[c]) for c in new)
+        return [np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), dtype="<u4") for chunks in cut]
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
 
@@ -105,16 +121,16 @@ class ChunkEncoder:
             self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _by_length(texts: list[str], chars: int = 4_000_000):
-    """Runs of texts, so that no more than a few MB are cut into chunks at once."""
+def _by_length(texts: list[str], chars: int):
+    """Runs of texts of so many characters at most; a longer text is a run of its own."""
     batch: list[str] = []
     n = 0
     for t in texts:
-        batch.append(t)
-        n += len(t)
-        if n >= chars:
+        if batch and n + len(t) > chars:
             yield batch
             batch, n = [], 0
+        batch.append(t)
+        n += len(t)
     if batch:
         yield batch
 
