@@ -12,14 +12,17 @@ low floor(log2(u / n)) bits are packed, the rest are unary in a bit vector of at
 ``select`` finds the i-th value by a sampled directory (one 32-bit place per 256 set bits)
 and a scan of the words after it, so an offset takes a few cache lines and no 64-bit table.
 
-Scale: the documents are range-partitioned by id, one partition per file; each task streams
-its documents into one file under the shared folder, written under a temporary name of its
+Scale: the documents are range-partitioned by id (and, for ids that many rows repeat, by text
+and place of the row); each task streams its documents into files of ``file_tokens`` ids at
+most (or one document) under the shared folder, each written under a temporary name of its
 attempt and renamed when whole, so that a lost executor leaves no half file. The manifest has
-one row per file; each file's first position is a running sum over it.
+one row per file; each file's first position is a running sum over it. Python workers write
+the files, so the folder must be one that they can reach: file, hdfs, s3 (s3a is taken as
+s3), gs, or abfs; anything else is refused before any work.
 
 Defined cases: a null text is empty (its document is the end id alone); null ids come last
-and stay null; repeated ids keep all their rows, ordered by text; an empty table gives an
-empty manifest and no files; clashing names don't matter, as only id and text are read.
+and stay null; repeated ids keep all their rows, ordered by a hash of the text; an empty table
+gives an empty manifest and no files; clashing names don't matter, as only id and text are read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +42,9 @@ from histlake.llm.tokens import worker_encoder
 from histlake.sources import read_table, work_path
 
 MAGIC, VERSION, SAMPLE = b"HLEF", 1, 256
-MANIFEST = "file string, part long, n_docs long, n_tokens long"
+MANIFEST = "file string, part long, block long, n_docs long, n_tokens long"
+#: Names that Hadoop and Arrow give the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
 
 
 class EliasFano:
@@ -162,7 +167,11 @@ class TokenShard:
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition(":")
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as error:
+        raise ValueError(f"token files need a folder that Python workers can reach (file, hdfs, s3, gs, abfs), not {uri}") from error
 
 
 def write_token_files(
@@ -173,12 +182,18 @@ def write_token_files(
     end_id: int = 2,
     id_bytes: int = 4,
     file_bytes: int = 32 << 20,
+    file_tokens: int = 1 << 23,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Write all documents under ``path``; the manifest: file, part, n_docs, n_tokens, first_token."""
+    """Write all documents under ``path``; the manifest: file, part, block, n_docs, n_tokens, first_token.
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``file_bytes``: text a task gets on average.
+    """
+    _filesystem(path)
+    schema = pa.schema([("file", pa.string()), ("part", pa.int64()), ("block", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -186,60 +201,66 @@ def write_token_files(
         end = np.array([end_id], dtype=f"<u{id_bytes}")
         ids: list[np.ndarray] = []
         names: list[int | None] = []
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                found = encoder.encode([t if isinstance(t, str) else "" for t in part["t"]])
-                ids += [np.concatenate([x.astype(end.dtype), end]) for x in found]
-                names += [None if pd.isna(x) else int(x) for x in part["i"]]
-        if not ids:
-            return
-        store, base = _filesystem(path)
-        store.create_dir(base, recursive=True)
-        name = f"part-{task.partitionId():06d}.hlef"
-        temporary = f"{base}/.{name}.{task.taskAttemptId()}"
-        with store.open_output_stream(temporary) as out:
-            out.write(encode_shard(ids, names, id_bytes))
-        store.move(temporary, f"{base}/{name}")
-        yield pd.DataFrame({"file": [f"{path}/{name}"], "part": [task.partitionId()], "n_docs": [len(ids)], "n_tokens": [sum(map(len, ids))]})
+        block = tokens = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal ids, names, block, tokens
+            store, base = _filesystem(path)
+            store.create_dir(base, recursive=True)
+            name = f"part-{task.partitionId():06d}-{block:06d}.hlef"
+            temporary = f"{base}/.{name}.{task.taskAttemptId()}"
+            with store.open_output_stream(temporary) as out:
+                out.write(encode_shard(ids, names, id_bytes))
+            store.move(temporary, f"{base}/{name}")
+            row = {"file": [f"{path}/{name}"], "part": [task.partitionId()], "block": [block], "n_docs": [len(ids)], "n_tokens": [tokens]}
+            ids, names, block, tokens = [], [], block + 1, 0
+            return pa.RecordBatch.from_pydict(row, schema=schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for name, found in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    if ids and tokens + len(found) >= file_tokens:
+                        yield flush()
+                    ids.append(np.concatenate([found.astype(end.dtype), end]))
+                    names.append(name)
+                    tokens += len(found) + 1
+        if ids:
+            yield flush()
 
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     total = narrow.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_files = max(1, -(-total // file_bytes))
-    ordered = narrow.repartitionByRange(n_files, F.col("i").asc_nulls_last()).sortWithinPartitions(F.col("i").asc_nulls_last(), "t")
-    ordered = ordered.withColumn("i", F.col("i").cast("string"))  # a long with nulls would reach pandas as a float
-    ordered.mapInPandas(write, MANIFEST).write.parquet(f"{path}/manifest")
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # rows that repeat an id and a text are alike, so their place only spreads them
+    order = [F.col("i").asc_nulls_last(), F.col("x"), F.col("spread")]
+    spread = narrow.withColumns({"x": F.xxhash64("t"), "spread": F.pmod(F.monotonically_increasing_id(), F.lit(1024))})
+    ordered = spread.repartitionByRange(n_files, *order).sortWithinPartitions(*order).select("i", "t")
+    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    before = Window.partitionBy(F.lit(0)).orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start (over all files), n_tokens, ids_crc32 (of the ids as uint32)."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, first in zip(pdf["file"], pdf["first_token"], strict=True):
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, name = _filesystem(file)
                 with store.open_input_stream(name) as source:
                     shard = TokenShard(source.read())
                 names, places = shard.entries()
                 starts, ends = places[:-1], places[1:]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array(names, dtype="Int64"),
-                        "start": starts + first,
-                        "n_tokens": ends - starts,
-                        "ids_crc32": [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)],
-                    }
-                )
-
-    parts = manifest.select("part", "file", "first_token")
-    n = max(1, int(parts.count()))
-    return (
-        parts.repartitionById(n, F.pmod("part", F.lit(n)).cast("int"))
-        .mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    )
+                sums = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts + first), pa.array(ends - starts), pa.array(sums, pa.int64())], schema=schema)
+
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first_token", "part", "block")) - 1
+    parts = manifest.select("file", "first_token", place.alias("place"))
+    n = max(1, int(manifest.count()))
+    return parts.repartitionById(n, "place").select("file", "first_token").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark, sf_dir):

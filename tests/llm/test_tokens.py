@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from histlake.llm.packing import assign, pack_documents, tokenizer_path
 from histlake.llm.token_files import EliasFano, TokenShard, encode_shard, read_token_files, write_token_files
@@ -22,7 +23,7 @@ def test_chunks_encode_as_whole_texts(name):
     rng = random.Random(3)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     texts += ["", " ", "a\n\nb", "don't  stop 's", "<|endoftext|>x", "café " * 3000]
-    encoder = ChunkEncoder(tokenizer_path(name), cache_chunks=500)
+    encoder = ChunkEncoder(tokenizer_path(name), cache_bytes=100_000)
     assert encoder.kind != "whole"
     want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in encoder.encode(texts)] == want
@@ -55,13 +56,45 @@ def test_token_files_round_trip(spark, odd, odd_rows, file_bytes):
     got = [tuple(r) for r in read_token_files(manifest).orderBy("start").collect()]
     encoder = ChunkEncoder(path)
     want, at = [], 0
-    for row in sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
+    spark_hash = {r["text"]: r["x"] for r in odd.select("text", F.xxhash64("text").alias("x")).collect()}
+    for row in sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0, spark_hash[r[1]])):
         ids = np.append(encoder.encode([row[1] or ""])[0], 2).astype("<u4")
         want.append((row[0], at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == want
 
 
+def test_token_files_of_rows_all_alike(spark):
+    """One id in all rows, and none in as many: several files, none of more than its tokens."""
+    rows = spark.range(4000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("some words of it").alias("text"))
+    rows = rows.union(spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("none").alias("text"))).repartition(4)
+    manifest = write_token_files(rows, tokenizer_path("word_bpe_49k.json"), work_path(spark, "t"), file_bytes=20_000, file_tokens=1500)
+    files = manifest.collect()
+    assert len({f["part"] for f in files}) > 3 and all(f["n_tokens"] <= 1500 for f in files) and sum(f["n_docs"] for f in files) == 8000
+    got = [(r["start"], r["n_tokens"], r["doc_id"]) for r in read_token_files(manifest).orderBy("start").collect()]
+    at = 0
+    for start, n, _ in got:
+        assert start == at
+        at += n
+    assert [d for _, _, d in got] == [3] * 4000 + [None] * 4000
+
+
+def test_folders_that_workers_cannot_reach_are_refused(odd):
+    with pytest.raises(ValueError, match="Python workers"):
+        write_token_files(odd, tokenizer_path("word_bpe_49k.json"), "viewfs://store/t")
+
+
+def test_a_very_long_text_is_cut_bit_by_bit(monkeypatch):
+    from histlake.llm import tokens
+
+    monkeypatch.setattr(tokens, "_CHARS", 50)
+    monkeypatch.setattr(tokens, "_CHUNKS", 7)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = ChunkEncoder(tokenizer_path(name), cache_bytes=3000)
+        texts = ["don't stop,  me now \n" * 40, "", "x"]
+        assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files_of_nothing(spark, empty):
     manifest = write_token_files(empty, tokenizer_path("word_bpe_49k.json"), work_path(spark, "t"))
     assert read_token_files(manifest).count() == 0
