@@ -62,3 +62,7 @@ LEXICAL_QUOTA, LEXICAL_LEAST = 24, 160
 SEMANTIC_QUOTA, SEMANTIC_LEAST = 100, 600
 BODY_WEIGHT, TITLE_WEIGHT, STRENGTH_WEIGHT = 1.4, 0.15, 0.01
 ARTIFACT_WEIGHTS = (8.0, 4.0, 2.0, 2.0)
+
+# The pattern of a search term, and the days of a window's unit
+QUERY_TERM = r'-?"[^"]+"|-?\S+'
+WINDOW_DAYS = {"h": 1 / 24, "d": 1, "w": 7, "m": 30, "y": 365}

@@ -50,7 +50,7 @@ def stable_id(prefix: str, *parts: Column, length: int = 24) -> Column:
 
 def slug(text: str | Column, limit: int = 64) -> Column:
     """Lower case, runs of other characters as one dash, none at the ends."""
-    dashed = F.regexp_replace(F.lower(_col(text)), r"[^\w.-]+", "-")
+    dashed = F.regexp_replace(F.lower(_col(text)), r"(?U)[^\w.-]+", "-")
     return F.substring(F.regexp_replace(dashed, r"^[-.]+|[-.]+$", ""), 1, limit)
 
 

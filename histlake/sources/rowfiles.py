@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from histlake.operators.digest import table_digest
 
 FORMAT = "histlake-rows-1"
+#: The digest of no rows.
+NO_ROWS = ""
 
 
 def write_row_stream(rows: DataFrame, path: str, name: str) -> None:
     """``path``/rows holds the rows, ``path``/manifest their schema, count and digest."""
     rows.write.json(f"{path}/rows", compression="gzip", ignoreNullFields=False)
-    facts = table_digest(rows, rows.columns)
+    # one row, whether the digest has one or, of a table without rows, none
+    facts = rows.sparkSession.range(1).select().join(table_digest(rows, rows.columns), how="left")
+    facts = facts.select(F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("digest", F.lit(NO_ROWS)).alias("digest"))
     manifest = facts.select(F.lit(FORMAT).alias("format"), F.lit(name).alias("name"), F.lit(rows.schema.json()).alias("schema"), "n_rows", "digest")
     manifest.coalesce(1).write.json(f"{path}/manifest")
 
@@ -25,14 +29,15 @@ def read_row_stream(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
     found = spark.read.json(f"{path}/manifest").collect()
-    if not found:  # a table without rows has no digest row
+    if not found:
         raise ValueError(f"{path}: no manifest")
     manifest = found[0]
     if manifest["format"] != FORMAT:
         raise ValueError(f"{path}: format {manifest['format']}")
     rows = spark.read.schema(StructType.fromJson(json.loads(manifest["schema"]))).json(f"{path}/rows")
     now = table_digest(rows, rows.columns).collect()
-    if not now or (now[0]["n_rows"], now[0]["digest"]) != (manifest["n_rows"], manifest["digest"]):
+    facts = (now[0]["n_rows"] or 0, now[0]["digest"] or NO_ROWS) if now else (0, NO_ROWS)
+    if facts != (manifest["n_rows"], manifest["digest"]):
         raise ValueError(f"{path}: rows differ from the manifest")
     return rows
 

@@ -78,7 +78,7 @@ def test_paths(spark):
 
 
 def test_small_formats(spark):
-    assert one(spark, T.slug("t"), t="  Héllo Wörld/x!! ") in ("h-llo-w-rld-x", "héllo-wörld-x")
+    assert one(spark, T.slug("t"), t="  Héllo Wörld/x!! ") == "héllo-wörld-x"
     assert [one(spark, T.human_bytes("n"), n=n) for n in (5, 1536, 3 << 20)] == ["5 B", "1.5 KiB", "3.0 MiB"]
     assert one(spark, T.attachment_kind("m", "f"), m="", f="a.PDF") == "pdf"
     assert one(spark, T.sentence_parts("t"), t="One. Two!\n\nThree 。 four") == ["One.", "Two!", "Three 。", "four"]

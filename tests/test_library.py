@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histlake.library import Library, federated_search
+from histlake.operators import lifecycle
 from histlake.sources.rowfiles import apply_delta, export_delta, read_row_stream, write_row_stream
 from test_ingest import line, transcript
 
@@ -92,3 +93,32 @@ def test_deltas(spark, tmp_path):
     got = apply_delta(spark, old, {"t": ["k"]}, path)["t"]
     assert sorted(got.collect(), key=lambda r: r["k"]) == sorted(new["t"].collect(), key=lambda r: r["k"])
     assert got.where(F.col("k") == 3).count() == 0
+
+
+def test_an_empty_row_stream_reads_back(spark, tmp_path):
+    path = f"file://{tmp_path}/none"
+    write_row_stream(spark.createDataFrame([], "a long, b string"), path, "nothing")
+    assert read_row_stream(spark, path).count() == 0
+
+
+def test_upsert_replaces_a_null_key(spark):
+    old = spark.createDataFrame([(None, "old"), (1, "one")], "k long, v string")
+    new = spark.createDataFrame([(None, "new"), (2, "two")], "k long, v string")
+    assert sorted((r["k"] or 0, r["v"]) for r in lifecycle.upsert(old, new, ["k"]).collect()) == [(0, "new"), (1, "one"), (2, "two")]
+    assert [tuple(r) for r in lifecycle.new_rows(new, old, ["k"]).collect()] == [(2, "two")]
+
+
+def test_deleting_a_thread_takes_what_only_it_showed(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "threads": frame([("a",), ("b",)], "thread_id string"),
+        "occurrences": frame([("a", "e1"), ("a", "e2"), ("b", "e2"), ("b", "e3")], "thread_id string, evidence_id string"),
+        "evidence": frame([("e1",), ("e2",), ("e3",)], "evidence_id string"),
+        "bridge": frame([("r1", "e1"), ("r2", "e1"), ("r2", "e2")], "record_id string, evidence_id string"),
+        "knowledge": frame([("r1",), ("r2",), ("r3",)], "record_id string"),
+        "claims": frame([("r1", 1), ("r2", 1)], "record_id string, ordinal int"),
+        "relations": frame([("e3", "validates", "e1"), ("e3", "validates", "e2"), ("r1", "refines", "r2")], "source string, relation string, target string"),
+    }
+    left = {n: sorted(tuple(r) for r in t.collect()) for n, t in lifecycle.delete_threads(tables, frame([("a",)], "thread_id string")).items()}
+    assert left["threads"] == [("b",)] and left["evidence"] == [("e2",), ("e3",)] and left["bridge"] == [("e2", "r2")]
+    assert left["knowledge"] == [("r2",), ("r3",)] and left["claims"] == [("r2", 1)] and left["relations"] == [("e3", "validates", "e2")]
