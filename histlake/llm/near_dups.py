@@ -4,8 +4,8 @@ A text's set is its distinct 5-word shingles, hashed to 64 bits. The table keys
 MinHash are formed by tensoring: from two collections of ``halves`` small hashes each (of
 ``rows`` minhashes), every pair of one from each collection makes a key. ``halves**2`` tables
 of ``2 * rows`` minhashes thus take only ``2 * halves * rows`` minhash functions instead of
-``2 * halves**2 * rows``: 16 and 4 here, so 256 tables of 8 rows from 128 functions. Two sets
-of similarity s share a key with probability (1 - (1 - s^4)^16)^2: 0.995 at 0.75. Two bits of
+``2 * halves**2 * rows``: 11 and 3 here, so 121 tables of 6 rows from 66 functions. Two sets
+of similarity s share a key with probability (1 - (1 - s^3)^11)^2: 0.995 at 0.75. Two bits of
 each of ``sketch`` minhashes estimate a pair's similarity; a pair whose estimate is 3.7 standard
 deviations below the bound (one in 7,000 at the bound) is no candidate. ``sketch=0`` leaves
 this filter out: then every pair that shares a key is held against its full sets.
@@ -181,8 +181,8 @@ def near_duplicates(
     *,
     words: int = 5,
     percent: int = 75,
-    halves: int = 16,
-    rows: int = 4,
+    halves: int = 11,
+    rows: int = 3,
     sketch: int = 512,
     seed: int = 2024,
     id_col: str = "doc_id",
@@ -303,7 +303,8 @@ def _links(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int, halve
 def keep_first_of_groups(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group: the smallest id (of its rows, one), columns unchanged.
 
-    Documents without an id are kept.
+    Documents without an id are kept. Rows that repeat an id are one document, even if their
+    texts differ, and one of them stays (that of the least text hash).
     """
     id_col = options.get("id_col", "doc_id")
     gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col(id_col).alias(f"{OWN}id")).distinct()
