@@ -30,7 +30,7 @@ from histlake.llm.labels import sample_labelled
 from histlake.sources import read_table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_distinct_words", "n_upper", "n_digits", "n_exclaim", "n_pipes", "n_same_as_last", "n_marked_words")
+MORE = ("n_lines", "n_distinct_words", "n_upper", "n_digits", "n_exclaim", "n_pipes", "n_same_as_last")
 WINDOW = 8
 
 #: What rules speak of: name and SQL over the counts. Shares are of words or characters.
@@ -45,7 +45,6 @@ MEASURES = {
     "exclaim_share": "n_exclaim / greatest(n_words, 1)",
     "pipe_share": "n_pipes / greatest(n_words, 1)",
     "stutter_share": "n_same_as_last / greatest(n_words, 1)",
-    "marked_share": "n_marked_words / greatest(n_words, 1)",
     "words": "cast(n_words as double)",
 }
 
@@ -67,10 +66,9 @@ def count_text(text: str | None) -> tuple[int, ...]:
     raw = np.frombuffer(data, np.uint8)
     n_upper = int(((raw >= 65) & (raw <= 90)).sum())
     n_digits = int(((raw >= 48) & (raw <= 57)).sum())
-    marked = sum(c for c in (data.count(s) for s in (b"!! ", b"*** ", b"### ", b"$$$ ", b"%%% ", b"&&& ")))
     return (
         n, len(text) - blanks, sum(map(data.count, (bytes([c]) for c in _SYMBOLS))), len(lines) - len(set(lines)), _repeated(ids),
-        len(lines), len(numbers), n_upper, n_digits, data.count(b"!"), data.count(b"|"), int((ids[1:] == ids[:-1]).sum()), marked,
+        len(lines), len(numbers), n_upper, n_digits, data.count(b"!"), data.count(b"|"), int((ids[1:] == ids[:-1]).sum()),
     )
 
 
