@@ -276,7 +276,9 @@ def search(
     posted = write_and_read(groups.mapInPandas(post, "cell long, ids array<long>, v array<double>"), "postings")
     sizes = posted.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     sizes = write_and_read(sizes, "cell-sizes")
-    chosen = valid.where(F.col("vec_id") % every == 0).distinct()
+    # a number of partitions of its own, else the few bytes of all queries are put into one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chosen = valid.where(F.col("vec_id") % every == 0).distinct().repartition(tasks, "vec_id")
     slices = max(1, -(-chosen.count() // slice_rows))
     block = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks")).cast("int")
     posted = posted.join(sizes, "cell").select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "ids", "v")
