@@ -7,8 +7,9 @@ words are. Each indicator is scaled by its log-count ratio between the classes,
 brought to unit length, and a linear hinge-loss model is fitted by dual coordinate descent.
 Margins become scores by a sigmoid fitted on margins of examples left out of the fit.
 
-Scale: the fit sees at most ``per_class`` labelled documents of each class (weighted to the
-classes' counts over all labels); scoring is one pass over whole texts without an exchange,
+Scale: the fit sees at most ``per_class`` labelled documents of each class, each class with
+half the weight; the sigmoid's fit weighs them by the classes' counts over all labels, so
+scores are shares of label 1 as they occur. Scoring is one pass over whole texts without an exchange,
 and the model that goes to the executors has a fixed size (about 2 MB).
 
 Defined cases: null and empty texts have no features and get the bias's score; texts of any
