@@ -52,7 +52,7 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 #: Bytes of a worker's cache, of which one half is what was asked for since the other was full.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 256 << 20
 #: What a chunk takes in it besides its characters and ids.
 _ENTRY = 120
 #: Texts are cut into chunks so many characters at a time, or so many chunks of a longer one.
