@@ -54,7 +54,9 @@ def shard_documents(
     key = [F.col(id_col).alias(f"{OWN}id"), F.xxhash64(F.col(text_col)).alias(f"{OWN}x")]
     sums = write_and_read(docs.groupBy(*key).agg(F.count("*").alias("n"), F.sum(record_size(text_col)).alias("bytes")), "shard-keys")
     total = sums.agg(F.sum("bytes")).first()[0] or 0
+    # a table of its own: as a rule it is empty, and Spark sees that no records need be exchanged to join it
     many = sums.where(F.col("n") > ALIKE).select(f"{OWN}id", f"{OWN}x", F.ceil(F.col("n") / ALIKE).alias(f"{OWN}parts"))
+    many = write_and_read(many, "shard-many", replaces=[sums])
     n_buckets = max(1, -(-total // bucket_bytes))
     same = F.col(id_col).eqNullSafe(F.col(f"{OWN}id")) & (F.xxhash64(F.col(text_col)) == F.col(f"{OWN}x"))
     dealt = docs.withColumn(f"{OWN}row", F.monotonically_increasing_id()).join(many, same, "left")
