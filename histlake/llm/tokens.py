@@ -24,8 +24,9 @@ import json
 import os
 import re
 import struct
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 
@@ -74,9 +75,9 @@ class ChunkEncoder:
         # a vocabulary that behaves otherwise is encoded in full
         trial = ["word", "\xc4rger", "**", ".,", "ab" * 30, "Q", "\xe9"] + ([" word", " ,", " \xfc"] if self.kind == "bytes" else [])
         self.pieces = self.kind != "whole" and all(self._piece(t) == ids for t, ids in zip(trial, self._ids(trial), strict=True))
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Chunks(self._learn)
         self.older: dict[str, bytes] = {}
-        self.taken, self.most = 0, cache_bytes // 2
+        self.most = cache_bytes // 2
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.kind == "whole":
@@ -92,13 +93,8 @@ class ChunkEncoder:
         return out
 
     def _encode_cut(self, cut: list[list[str]]) -> list[np.ndarray]:
-        if self.taken > self.most:
-            self.older, self.cache, self.taken = self.cache, {}, 0
-        new = set(chain.from_iterable(cut)).difference(self.cache)
-        known = {c: self.older[c] for c in new.intersection(self.older)} if self.older else {}
-        self.cache.update(known)
-        self._learn(list(new.difference(known)))
-        self.taken += sum(_ENTRY + len(c) + len(self.cache[c]) for c in new)
+        if self.cache.taken > self.most:
+            self.older, self.cache = self.cache, _Chunks(self._learn)
         return [np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), dtype="<u4") for chunks in cut]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -106,19 +102,28 @@ class ChunkEncoder:
 
     def _piece(self, chunk: str) -> list[int]:
         low = chunk.lower() if self.kind == "words" else chunk
-        return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(_BYTES))]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Put the ids of new chunks into the cache."""
-        alone = []
-        for chunk in chunks:
-            if self.pieces and _PIECE.fullmatch(chunk):
-                ids = self._piece(chunk)
-                self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                alone.append(chunk)
-        for chunk, ids in zip(alone, self._ids(alone), strict=True):
-            self.cache[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        shown = low.replace(" ", _BYTES[32]) if low.isascii() else low.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.model.tokenize(shown)]
+
+    def _learn(self, chunk: str) -> bytes:
+        """The ids of a chunk that the cache lacks."""
+        known = self.older.get(chunk)
+        if known is not None:
+            return known
+        ids = self._piece(chunk) if self.pieces and _PIECE.fullmatch(chunk) else self._ids([chunk])[0]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Chunks(dict):
+    """Ids by chunk; what is not there yet is learned when it is asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn, self.taken = learn, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        self.taken += _ENTRY + len(chunk) + len(ids)
+        return ids
 
 
 def _by_length(texts: list[str], chars: int):
