@@ -66,3 +66,8 @@ ARTIFACT_WEIGHTS = (8.0, 4.0, 2.0, 2.0)
 # The pattern of a search term, and the days of a window's unit
 QUERY_TERM = r'-?"[^"]+"|-?\S+'
 WINDOW_DAYS = {"h": 1 / 24, "d": 1, "w": 7, "m": 30, "y": 365}
+
+#: Fixed values of search: the weights that divide the scores of the two full-text engines, and
+#: the classifier whose assets are no longer shown.
+BODY_ENGINE, TITLE_ENGINE = 8.0, 1.0
+OUTDATED_CLASSIFIER = "deterministic-asset-classifier-v1"

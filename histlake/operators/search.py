@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from histlake.functions import constants as C
 from histlake.functions.queries import alias_groups, parse_terms
 from histlake.functions.text import ASCII_BLANK, normalize_text
-from histlake.operators.lexical import bm25
+from histlake.operators.lexical import with_bm25
 from histlake.operators.semantic import semantic_candidates
 
 BODY = ["text", "theme", "category", "asset_type", "tier"]
@@ -42,8 +42,9 @@ def _at(moment: datetime) -> Column:
 
 
 def eligible() -> Column:
-    """Rows meant for retrieval: not switched off."""
-    return F.coalesce(F.col("retrieval_eligible"), F.lit(True))
+    """Rows meant for retrieval: not switched off, and no asset that an outdated classifier derived."""
+    outdated = (F.col("tier") == "asset") & (F.coalesce("derived_by", F.lit("")) == C.OUTDATED_CLASSIFIER)
+    return F.coalesce(F.col("retrieval_eligible"), F.lit(True)) & ~outdated
 
 
 def predicate(f: Filters) -> Column:
@@ -124,12 +125,14 @@ def _pick(values: dict, key: str, default) -> Column:
 
 
 def search(knowledge: DataFrame, spec: SearchSpec, semantic: DataFrame | None = None) -> DataFrame:
-    """Ranked records: rank, record_id, tier, scope_id, score, body_matches, title_matches, duplicate_count, duplicates.
-
-    Candidates are the per-tier best by BM25 of bodies and of titles, what contains a term in
-    its body or title, and ``semantic`` (record_id, similarity). Body and title are searched
-    in one pass; the query's terms are literals, so nothing but the statistics row and the
-    candidates of each tier is exchanged. Without a limit there are no per-tier quotas either.
+    """Ranked records: rank, record_id, tier, scope_id, score, body_matches, title_matches, duplicate_count, duplicates, duplicate_scopes.
+
+    Candidates are, per tier, the best by BM25 of bodies, the best by BM25 of titles and the
+    first that contain a term, each within a quota of its own, and all of ``semantic``
+    (record_id, similarity). The query's terms are literals: a row that is found scores in its
+    scan and goes on as numbers and hashes, once for each way it was found, so that Spark cuts
+    every quota before the exchange. Without a limit there are no quotas. Equal texts of a tier
+    (case kept) are one result.
     """
     wanted, unwanted = parse_terms(spec.query, spec.exclude)
     groups = alias_groups(wanted, spec.aliases)
@@ -153,37 +156,42 @@ def search(knowledge: DataFrame, spec: SearchSpec, semantic: DataFrame | None =
         accepted = near
     else:
         accepted = (n > 0) | near
+    engines = {"__body_bm25": BODY, "__title_bm25": ["scope_title"]}
+    scored = with_bm25(rows.where(accepted), knowledge, engines, groups, require="all" if spec.mode == "all" else "any")
+    lexical = F.greatest(F.col("__body_bm25") / C.BODY_ENGINE, F.col("__title_bm25") / C.TITLE_ENGINE)
     # a hash, so that no text is exchanged
-    rows = rows.where(accepted).withColumn("__key", F.sha2(F.lower(normalize_text("text", ASCII_BLANK)), 256))
-    tf = bm25(knowledge.where(predicate(spec.filters)).select("record_id", *BODY), BODY, wanted, groups=groups).select("record_id", "bm25")
-    per_tier = Window.partitionBy("tier").orderBy(F.desc_nulls_last("bm25"), "record_id")
-    ranked = rows.join(tf, "record_id", "left")
+    ranked = scored.withColumns({"bm25": lexical, "__key": F.sha2(normalize_text("text", ASCII_BLANK), 256)}).drop(*BODY[:3], "__body", "__title", "scope_title")
     if spec.limit is not None:
+        ways = [F.col("__body_bm25"), F.col("__title_bm25"), F.when(n > 0, 0.0)]
+        found = F.filter(F.array(*[F.struct(F.lit(i).alias("way"), w.alias("worth")) for i, w in enumerate(ways)]), lambda x: x["worth"].isNotNull())
+        place = F.row_number().over(Window.partitionBy("tier", "__found.way").orderBy(F.desc("__found.worth"), "record_id"))
         quota = max(C.LEXICAL_QUOTA * spec.limit, C.LEXICAL_LEAST)
-        ranked = ranked.withColumn("__place", F.row_number().over(per_tier)).where((F.col("__place") <= quota) | near)
+        lexical_rows = ranked.withColumn("__found", F.explode(found)).withColumn("__place", place).where(F.col("__place") <= quota).drop("__found", "__place")
+        ranked = lexical_rows if semantic is None else lexical_rows.unionByName(ranked.where(near))
     strength = _pick(C.STATUS_STRENGTH, "status_group", 0)
     score = C.BODY_WEIGHT * F.col("__nb") + C.TITLE_WEIGHT * F.col("__nt") + F.coalesce("similarity", F.lit(0.0)) + _pick(C.TIER_BONUS, "tier", 0.0) + C.STRENGTH_WEIGHT * strength
     tier_place = _pick({t: i for i, t in enumerate(C.ALL_TIERS)}, "tier", len(C.ALL_TIERS))
     ranked = ranked.withColumns({"score": F.round(score, 6), "__strength": strength, "__tier": tier_place, "__title_only": ((F.col("__nb") == 0) & (F.col("__nt") > 0)).cast("int")})
     order = [
-        F.asc("__title_only"), F.desc("score"), F.desc("__nb"), F.desc(n), F.desc(F.coalesce("similarity", F.lit(-1.0))), F.asc("__tier"), F.desc_nulls_last("bm25"),
+        F.asc("__title_only"), F.desc("score"), F.desc("__nb"), F.desc(n), F.desc(F.when(F.col("similarity") != 0, F.col("similarity")).otherwise(-1.0)), F.asc("__tier"), F.desc_nulls_last("bm25"),
         F.desc("__strength"), F.desc("evidence_count"), F.desc_nulls_last("occurred_end"), F.asc("record_id"),
     ]
     same = Window.partitionBy("tier", "__key")
-    # an aggregate over the numbered rows: a list per group, not one per row of it
+    # an aggregate over the numbered rows: a set per group, in which a row found twice is one
     shown = ["record_id", "scope_id", "score", "similarity", "bm25", "evidence_count", "occurred_end", "__nb", "__nt", "__title_only", "__strength", "__tier"]
     collapsed = (
         ranked.withColumn("__first", F.row_number().over(same.orderBy(*order)))
         .groupBy("tier", "__key")
-        .agg(F.min_by(F.struct(*shown), "__first").alias("__row"), F.collect_list("record_id").alias("__all"), F.count("*").alias("__n"))
-        .select("tier", "__row.*", "__all", "__n")
+        .agg(F.min_by(F.struct(*shown), "__first").alias("__row"), F.collect_set("record_id").alias("__all"), F.collect_set("scope_id").alias("__scopes"))
+        .select("tier", "__row.*", "__all", "__scopes")
     )
     top = collapsed if spec.limit is None else collapsed.orderBy(*order).limit(spec.limit)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     others = F.array_sort(F.filter("__all", lambda r: r != F.col("record_id")))
+    scopes = F.array_sort(F.filter("__scopes", lambda x: ~x.eqNullSafe(F.col("scope_id"))))
     return top.select(
         rank.alias("rank"), "record_id", "tier", "scope_id", "score", F.col("__nb").alias("body_matches"), F.col("__nt").alias("title_matches"),
-        (F.col("__n") - 1).alias("duplicate_count"), F.array_join(others, ",").alias("duplicates"),
+        (F.size("__all") - 1).cast("long").alias("duplicate_count"), F.array_join(others, ",").alias("duplicates"), F.array_join(scopes, ",").alias("duplicate_scopes"),
     )
 
 

@@ -75,6 +75,7 @@ def knowledge(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("toxic") == 1, start + hours(720)).alias("valid_to"),
         F.when(F.col("doc_id") % 9 == 0, "scope_range").otherwise("exact_turn_range").alias("temporal_confidence"),
         (F.col("doc_id") % 11 != 0).alias("retrieval_eligible"),
+        F.when(F.col("doc_id") % 7 == 0, C.OUTDATED_CLASSIFIER).alias("derived_by"),
     )
 
 
@@ -89,7 +90,7 @@ KNOWLEDGE_SQL = """knowledge AS (SELECT d.doc_id::VARCHAR AS record_id, d.source
   TIMESTAMP '2024-06-01' AS indexed_at, TIMESTAMP '2024-01-01' + to_hours(d.doc_id) AS valid_from,
   CASE WHEN toxic = 1 THEN TIMESTAMP '2024-01-01' + to_hours(d.doc_id + 720) END AS valid_to,
   CASE WHEN d.doc_id % 9 = 0 THEN 'scope_range' ELSE 'exact_turn_range' END AS temporal_confidence,
-  d.doc_id % 11 <> 0 AS retrieval_eligible
+  d.doc_id % 11 <> 0 AND NOT (d.doc_id % 5 = 0 AND d.doc_id % 7 = 0) AS retrieval_eligible
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 

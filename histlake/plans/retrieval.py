@@ -26,13 +26,14 @@ def search_sql(groups: list[list[str]], *, name: str = "found", source: str = "k
     p = name
     phrases = list(dict.fromkeys(t for g in groups for t in g if len(t) >= 3))
     tf = lambda c, t: f"((length(lower({c})) - length(replace(lower({c}), '{t.lower()}', ''))) / {len(t)})::DOUBLE"
-    cols = S.BODY
-    tfs = ", ".join(f"({' + '.join(tf(c, t) for c in cols)}) AS tf{i}" for i, t in enumerate(phrases)) or "0 AS tf0"
-    dl = " + ".join(f"greatest(0, length({c}) - 2)" for c in cols)
-    dfs = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0)::DOUBLE AS df{i}" for i in range(len(phrases)))
-    one = lambda i: f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))"
-    score = " + ".join(one(i) for i in range(len(phrases))) or "0"
-    match = " OR ".join(f"tf{i} > 0" for i in range(len(phrases))) or "false"
+    engines = {"body": S.BODY, "title": ["scope_title"]}
+    tfs = "".join(f"({' + '.join(tf(c, t) for c in cols)}) AS {e}{i}, " for e, cols in engines.items() for i, t in enumerate(phrases))
+    dls = ", ".join(f"({' + '.join(f'greatest(0, length({c}) - 2)' for c in cols)})::DOUBLE AS dl_{e}" for e, cols in engines.items())
+    dfs = "".join(f", count(*) FILTER (WHERE {e}{i} > 0)::DOUBLE AS df_{e}{i}" for e in engines for i in range(len(phrases)))
+    one = lambda e, i: f"greatest(ln((n - df_{e}{i} + 0.5) / (df_{e}{i} + 0.5)), 1e-6) * {e}{i} * 2.2 / ({e}{i} + 1.2 * (0.25 + 0.75 * dl_{e} / mean_{e}))"
+    score = lambda e: " + ".join(one(e, i) for i in range(len(phrases))) or "0"
+    long_groups = [g for g in ([t for t in g if len(t) >= 3] for g in groups) if g]
+    match = lambda e: (" AND " if mode == "all" else " OR ").join("(" + " OR ".join(f"{e}{phrases.index(t)} > 0" for t in g) + ")" for g in long_groups) or "false"
     nb = " + ".join(f"{_has('body', g)}::INT" for g in groups) or "0"
     nt = " + ".join(f"(NOT {_has('body', g)} AND {_has('title', g)})::INT" for g in groups) or "0"
     bad = f"NOT ({_has('body', list(unwanted))} OR {_has('title', list(unwanted))})" if unwanted else "true"
@@ -44,18 +45,21 @@ def search_sql(groups: list[list[str]], *, name: str = "found", source: str = "k
     bonus = pick({f"tier = '{t}'": f"{v}::DOUBLE" for t, v in C.TIER_BONUS.items()}, "0::DOUBLE")
     strength = pick({f"status_group = '{s}'": v for s, v in C.STATUS_STRENGTH.items()}, 0)
     place = pick({f"tier = '{t}'": i for i, t in enumerate(C.ALL_TIERS)}, len(C.ALL_TIERS))
-    order = "title_only, score DESC, nb DESC, nb + nt DESC, coalesce(similarity, -1) DESC, tier_place, bm DESC NULLS LAST, strength DESC, evidence_count DESC, occurred_end DESC NULLS LAST, record_id"
+    order = "title_only, score DESC, nb DESC, nb + nt DESC, coalesce(nullif(similarity, 0), -1) DESC, tier_place, bm DESC NULLS LAST, strength DESC, evidence_count DESC, occurred_end DESC NULLS LAST, record_id"
     return f"""{p}_rows AS (SELECT *, {BODY_TEXT} AS body, lower(scope_title) AS title FROM {source} WHERE {where}),
-{p}_tf AS (SELECT record_id, {tfs}, ({dl})::DOUBLE AS dl FROM {p}_rows),
-{p}_stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean, {dfs or '0 AS df0'} FROM {p}_tf),
-{p}_bm AS (SELECT record_id, {score} AS bm FROM {p}_tf, {p}_stats WHERE {match}),
+{p}_tf AS (SELECT record_id, {tfs}{dls} FROM {source}),
+{p}_stats AS (SELECT count(*)::DOUBLE AS n, avg(dl_body) AS mean_body, avg(dl_title) AS mean_title{dfs} FROM {p}_tf),
+{p}_bm AS (SELECT record_id, CASE WHEN {match('body')} THEN {score('body')} END AS bm_body, CASE WHEN {match('title')} THEN {score('title')} END AS bm_title FROM {p}_tf, {p}_stats),
 {p}_hit AS (SELECT k.*, {nb} AS nb, {nt} AS nt, {sim} AS similarity FROM {p}_rows k {near} WHERE {bad}),
-{p}_ok AS (SELECT h.*, b.bm, row_number() OVER (PARTITION BY tier ORDER BY b.bm DESC NULLS LAST, h.record_id) AS place FROM {p}_hit h LEFT JOIN {p}_bm b ON b.record_id = h.record_id WHERE {accepted}),
+{p}_ok AS (SELECT h.*, greatest(bm_body / 8, bm_title) AS bm, bm_body IS NOT NULL AND row_number() OVER (PARTITION BY tier, bm_body IS NULL ORDER BY bm_body DESC, h.record_id) <= {quota}
+  OR bm_title IS NOT NULL AND row_number() OVER (PARTITION BY tier, bm_title IS NULL ORDER BY bm_title DESC, h.record_id) <= {quota}
+  OR nb + nt > 0 AND row_number() OVER (PARTITION BY tier, nb + nt > 0 ORDER BY h.record_id) <= {quota} AS within FROM {p}_hit h JOIN {p}_bm b ON b.record_id = h.record_id WHERE {accepted}),
 {p}_scored AS (SELECT *, round(1.4::DOUBLE * nb + 0.15::DOUBLE * nt + coalesce(similarity, 0) + {bonus} + 0.01::DOUBLE * {strength}, 6) AS score, {strength} AS strength, {place} AS tier_place,
-  (nb = 0 AND nt > 0)::INT AS title_only, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) AS same FROM {p}_ok WHERE place <= {quota} OR similarity IS NOT NULL),
-{p}_first AS (SELECT *, row_number() OVER (PARTITION BY tier, same ORDER BY {order}) AS fst, count(*) OVER (PARTITION BY tier, same) AS cnt, list(record_id) OVER (PARTITION BY tier, same) AS everyone FROM {p}_scored),
+  (nb = 0 AND nt > 0)::INT AS title_only, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS same FROM {p}_ok WHERE within OR similarity IS NOT NULL),
+{p}_first AS (SELECT *, row_number() OVER (PARTITION BY tier, same ORDER BY {order}) AS fst, count(*) OVER (PARTITION BY tier, same) AS cnt, list(record_id) OVER (PARTITION BY tier, same) AS everyone, list(scope_id) OVER (PARTITION BY tier, same) AS scopes FROM {p}_scored),
 {p} AS (SELECT row_number() OVER (ORDER BY {order}) AS rank, record_id, tier, scope_id, score, nb AS body_matches, nt AS title_matches, cnt - 1 AS duplicate_count,
-  array_to_string(list_sort(list_filter(everyone, lambda r: r <> record_id)), ',') AS duplicates FROM {p}_first WHERE fst = 1 ORDER BY {order} LIMIT {limit})"""
+  array_to_string(list_sort(list_filter(everyone, lambda r: r <> record_id)), ',') AS duplicates,
+  array_to_string(list_sort(list_distinct(list_filter(scopes, lambda x: x <> scope_id))), ',') AS duplicate_scopes FROM {p}_first WHERE fst = 1 ORDER BY {order} LIMIT {limit})"""
 
 
 def full_search(groups, **options) -> str:
@@ -93,7 +97,7 @@ def search_scoped_history(spark, sf):
     return S.search(knowledge(spark, sf), S.SearchSpec("the", limit=25, filters=f))
 
 
-BM25_SQL = with_(KNOWLEDGE_SQL, search_sql([["anties"], ["mente"]], where="true")) + "SELECT record_id, round(bm, 6) AS bm25 FROM found_bm ORDER BY round(bm, 6) DESC, record_id LIMIT 50"
+BM25_SQL = with_(KNOWLEDGE_SQL, search_sql([["anties"], ["mente"]], where="true")) + "SELECT record_id, round(bm_body, 6) AS bm25 FROM found_bm WHERE bm_body IS NOT NULL ORDER BY round(bm_body, 6) DESC, record_id LIMIT 50"
 
 
 @query("bm25_topk", BM25_SQL)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from histlake.operators import digest, lifecycle, merge, stats
 from histlake.operators.evidence import orphans
+from histlake.operators.search import eligible
 from histlake.plans.projection import KNOWLEDGE_SQL, MESSAGES_SQL, OCCURRENCES_SQL, knowledge, messages, occurrences, with_
 from histlake.plans.registry import query
 from histlake.sources import read_table
@@ -227,7 +228,7 @@ def cost_estimate(spark, sf):
     + "SELECT tier, count(*) FILTER (WHERE NOT retrieval_eligible) AS switched_off, sum(CASE WHEN NOT retrieval_eligible THEN length(text) ELSE 0 END)::BIGINT AS chars, count(DISTINCT CASE WHEN NOT retrieval_eligible THEN scope_id END) AS scopes FROM knowledge GROUP BY tier",
 )
 def pollution_audit(spark, sf):
-    off = ~F.col("retrieval_eligible")
+    off = ~eligible()
     return knowledge(spark, sf).groupBy("tier").agg(
         F.count(F.when(off, 1)).alias("switched_off"), F.sum(F.when(off, F.length("text")).otherwise(0)).cast("long").alias("chars"), F.countDistinct(F.when(off, F.col("scope_id"))).alias("scopes")
     )

@@ -7,9 +7,10 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from histlake.functions import constants
 from histlake.functions import queries as Q
 from histlake.functions import text as T
-from histlake.operators import digest, search
+from histlake.operators import digest, lexical, search
 
 
 def one(spark, column, **values):
@@ -117,27 +118,55 @@ def test_digest_ignores_order_and_partitions(spark):
     assert other["digest"] != one_["digest"]
 
 
-KNOWLEDGE = "record_id string, scope_id string, scope_title string, tier string, asset_type string, category string, theme string, text string, status_group string, evidence_count long, occurred_start timestamp_ntz, occurred_end timestamp_ntz, asserted_at timestamp_ntz, indexed_at timestamp_ntz, valid_from timestamp_ntz, valid_to timestamp_ntz, temporal_confidence string, retrieval_eligible boolean"
+KNOWLEDGE = "record_id string, scope_id string, scope_title string, tier string, asset_type string, category string, theme string, text string, status_group string, evidence_count long, occurred_start timestamp_ntz, occurred_end timestamp_ntz, asserted_at timestamp_ntz, indexed_at timestamp_ntz, valid_from timestamp_ntz, valid_to timestamp_ntz, temporal_confidence string, retrieval_eligible boolean, derived_by string"
 
 
-def record(i, text, tier="asset", title="plain", status="mixed", eligible=True, to=None):
+def record(i, text, tier="asset", title="plain", status="mixed", eligible=True, to=None, derived=None, scope="s"):
     at = datetime(2025, 1, 1) + timedelta(days=i)
-    return (f"r{i}", "s", title, tier, "", "", "", text, status, 1, at, at, None, at, at, to, "", eligible)
+    return (f"r{i}", scope, title, tier, "", "", "", text, status, 1, at, at, None, at, at, to, "", eligible, derived)
 
 
 def test_search_order_and_rules(spark):
     rows = [
-        record(1, "alpha beta"), record(2, "Alpha  beta"), record(3, "alpha", "core"), record(4, "other", title="Alpha things"), record(5, "alpha hidden", eligible=False),
+        record(1, "alpha beta"), record(2, "alpha  beta", scope="s2"), record(3, "alpha", "core"), record(4, "other", title="Alpha things"), record(5, "alpha hidden", eligible=False),
         record(6, "alpha closed", to=datetime(2025, 6, 1)), record(7, "alpha gamma"), record(8, None),
     ]
     df = spark.createDataFrame(rows, KNOWLEDGE)
     found = lambda **k: [r["record_id"] for r in search.search(df, search.SearchSpec(**k)).orderBy("rank").collect()]
-    # of equal texts the shorter spelling ranks first
+    # of equal texts the shorter spelling ranks first; texts that differ in case are two results
     assert found(query="alpha beta") == ["r1", "r7", "r3", "r4"]
     top = search.search(df, search.SearchSpec("alpha beta")).orderBy("rank").first()
-    assert top["duplicate_count"] == 1 and top["duplicates"] == "r2"
+    assert top["duplicate_count"] == 1 and top["duplicates"] == "r2" and top["duplicate_scopes"] == "s2"
     assert found(query="alpha beta", mode="all") == ["r1"]
     assert found(query="alpha -gamma") == ["r1", "r3", "r4"]
     assert found(query="") == [] and found(query="", mode="all") == []
     assert found(query="alpha", filters=search.Filters(history=True, tiers=("asset",))) == ["r1", "r7", "r6", "r4"]
     assert set(found(query="alpha", filters=search.Filters(as_of=datetime(2025, 1, 7, 12, tzinfo=timezone.utc)))) == {"r1", "r3", "r4", "r6"}
+
+
+def test_search_keeps_case_apart_and_leaves_outdated_assets_out(spark):
+    rows = [record(1, "alpha beta"), record(2, "Alpha beta"), record(3, "alpha old", derived=constants.OUTDATED_CLASSIFIER), record(4, "alpha old", "core", derived=constants.OUTDATED_CLASSIFIER)]
+    found = search.search(spark.createDataFrame(rows, KNOWLEDGE), search.SearchSpec("alpha")).orderBy("rank").collect()
+    assert {r["record_id"] for r in found} == {"r1", "r2", "r4"} and all(r["duplicate_count"] == 0 for r in found)
+
+
+def test_search_quotas_are_per_way_and_zero_similarity_ranks_last(spark):
+    """A title match with no body match stays within its own quota; a similarity of 0 counts as none in the order."""
+    rows = [record(i, f"alpha {i}") for i in range(200)] + [record(900, "other", title="alpha " * 9)]
+    df = spark.createDataFrame(rows, KNOWLEDGE)
+    found = search.search(df, search.SearchSpec("alpha", limit=1))
+    assert found.count() == 1 and "WindowGroupLimit" in found._jdf.queryExecution().toString()
+    wide = search.search(df, search.SearchSpec("alpha", limit=6))
+    assert wide.count() == 6 and "r900" not in {r["record_id"] for r in wide.collect()}  # titles alone rank last
+    near = spark.createDataFrame([("a", 0.0), ("b", -0.5)], "record_id string, similarity double")
+    two = spark.createDataFrame([("a", *record(1, "x")[1:]), ("b", *record(1, "y")[1:])], KNOWLEDGE)
+    got = search.search(two, search.SearchSpec("", mode="semantic"), near).orderBy("rank").collect()
+    assert [r["record_id"] for r in got] == ["a", "b"]
+
+
+def test_bm25_statistics_are_those_of_the_table(spark):
+    table = spark.createDataFrame([(i, "alpha" if i < 3 else "gamma delta") for i in range(50)], "i long, t string")
+    part = table.where("i in (0, 40)")
+    whole = lexical.bm25(table, ["t"], ["alpha"]).where("i = 0").first()["bm25"]
+    got = lexical.with_bm25(part, table, {"s": ["t"]}, [["alpha"]]).orderBy("i").collect()
+    assert got[0]["s"] == whole and got[1]["s"] is None
