@@ -122,3 +122,16 @@ def test_deleting_a_thread_takes_what_only_it_showed(spark):
     left = {n: sorted(tuple(r) for r in t.collect()) for n, t in lifecycle.delete_threads(tables, frame([("a",)], "thread_id string")).items()}
     assert left["threads"] == [("b",)] and left["evidence"] == [("e2",), ("e3",)] and left["bridge"] == [("e2", "r2")]
     assert left["knowledge"] == [("r2",), ("r3",)] and left["claims"] == [("r2", 1)] and left["relations"] == [("e3", "validates", "e2")]
+
+
+def test_semantic_and_hybrid_search(lib):
+    texts = lib.semantic_texts()
+    told = F.when(F.col("content").contains("passed"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    vectors = texts.select("doc_id", told.alias("vector"))
+    found = lib.search("", mode="semantic", vectors=vectors, vector=[1.0, 0.0], limit=3).collect()
+    best = {r["record_id"] for r in lib.knowledge.where(F.col("text").contains("passed")).select("record_id").collect()}
+    assert len(found) == 3 and {r["record_id"] for r in found} <= best
+    hybrid = lib.search("fix", vectors=vectors, vector=[1.0, 0.0], limit=5)
+    assert hybrid.count() == 5
+    with pytest.raises(ValueError):
+        lib.search("fix", mode="semantic")
