@@ -21,8 +21,8 @@ def _has(column: str, group: list[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{t.lower()}')" for t in group) + ")"
 
 
-def search_sql(groups: list[list[str]], *, name: str = "found", source: str = "knowledge", mode: str = "any", unwanted: tuple[str, ...] = (), limit: int = 10, where: str = "retrieval_eligible AND valid_to IS NULL", semantic: str | None = None) -> str:
-    """The search as common table expressions over ``source``; the last is ``name``."""
+def search_sql(groups: list[list[str]], *, name: str = "found", source: str = "knowledge", mode: str = "any", unwanted: tuple[str, ...] = (), limit: int | None = 10, where: str = "retrieval_eligible AND valid_to IS NULL", semantic: str | None = None) -> str:
+    """The search as common table expressions over ``source``; the last is ``name``. Without a limit there are no quotas."""
     p = name
     phrases = list(dict.fromkeys(t for g in groups for t in g if len(t) >= 3))
     tf = lambda c, t: f"((length(lower({c})) - length(replace(lower({c}), '{t.lower()}', ''))) / {len(t)})::DOUBLE"
@@ -38,7 +38,9 @@ def search_sql(groups: list[list[str]], *, name: str = "found", source: str = "k
     nt = " + ".join(f"(NOT {_has('body', g)} AND {_has('title', g)})::INT" for g in groups) or "0"
     bad = f"NOT ({_has('body', list(unwanted))} OR {_has('title', list(unwanted))})" if unwanted else "true"
     accepted = {"all": f"nb + nt = {len(groups)} AND nb >= 1", "any": "nb + nt > 0 OR similarity IS NOT NULL", "semantic": "similarity IS NOT NULL"}[mode]
-    quota = max(C.LEXICAL_QUOTA * limit, C.LEXICAL_LEAST)
+    within = "true" if limit is None else "within OR similarity IS NOT NULL"
+    quota = C.LEXICAL_LEAST if limit is None else max(C.LEXICAL_QUOTA * limit, C.LEXICAL_LEAST)
+    top = "" if limit is None else f" LIMIT {limit}"
     near = f"LEFT JOIN {semantic} sem ON sem.record_id = k.record_id" if semantic else ""
     sim = "sem.similarity" if semantic else "NULL::DOUBLE"
     pick = lambda m, d: "CASE " + " ".join(f"WHEN {k} THEN {v}" for k, v in m.items()) + f" ELSE {d} END"
@@ -55,11 +57,11 @@ def search_sql(groups: list[list[str]], *, name: str = "found", source: str = "k
   OR bm_title IS NOT NULL AND row_number() OVER (PARTITION BY tier, bm_title IS NULL ORDER BY bm_title DESC, h.record_id) <= {quota}
   OR nb + nt > 0 AND row_number() OVER (PARTITION BY tier, nb + nt > 0 ORDER BY h.record_id) <= {quota} AS within FROM {p}_hit h JOIN {p}_bm b ON b.record_id = h.record_id WHERE {accepted}),
 {p}_scored AS (SELECT *, round(1.4::DOUBLE * nb + 0.15::DOUBLE * nt + coalesce(similarity, 0) + {bonus} + 0.01::DOUBLE * {strength}, 6) AS score, {strength} AS strength, {place} AS tier_place,
-  (nb = 0 AND nt > 0)::INT AS title_only, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS same FROM {p}_ok WHERE within OR similarity IS NOT NULL),
+  (nb = 0 AND nt > 0)::INT AS title_only, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS same FROM {p}_ok WHERE {within}),
 {p}_first AS (SELECT *, row_number() OVER (PARTITION BY tier, same ORDER BY {order}) AS fst, count(*) OVER (PARTITION BY tier, same) AS cnt, list(record_id) OVER (PARTITION BY tier, same) AS everyone, list(scope_id) OVER (PARTITION BY tier, same) AS scopes FROM {p}_scored),
 {p} AS (SELECT row_number() OVER (ORDER BY {order}) AS rank, record_id, tier, scope_id, score, nb AS body_matches, nt AS title_matches, cnt - 1 AS duplicate_count,
   array_to_string(list_sort(list_filter(everyone, lambda r: r <> record_id)), ',') AS duplicates,
-  array_to_string(list_sort(list_distinct(list_filter(scopes, lambda x: x <> scope_id))), ',') AS duplicate_scopes FROM {p}_first WHERE fst = 1 ORDER BY {order} LIMIT {limit})"""
+  array_to_string(list_sort(list_distinct(list_filter(scopes, lambda x: x <> scope_id))), ',') AS duplicate_scopes FROM {p}_first WHERE fst = 1 ORDER BY {order}{top})"""
 
 
 def full_search(groups, **options) -> str:
@@ -157,7 +159,7 @@ def semantic_search(spark, sf):
 
 @query(
     "collapse_duplicates",
-    with_(KNOWLEDGE_SQL, search_sql([["e"]], limit=1000)) + "SELECT record_id, duplicate_count, duplicates FROM found WHERE duplicate_count > 0",
+    with_(KNOWLEDGE_SQL, search_sql([["e"]], limit=None)) + "SELECT record_id, duplicate_count, duplicates FROM found WHERE duplicate_count > 0",
 )
 def collapse_duplicates(spark, sf):
     found = S.search(knowledge(spark, sf), S.SearchSpec("e", limit=None))
