@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from histlake.llm.infill import OP11_SQL, op11_infill
 from histlake.llm.line_dedup import OP9_SQL, op9_line_dedup
 from histlake.llm.mixing import OP2_SQL, op2_mixing
 from histlake.llm.near_dups import op3_near_dups
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_infill": op11_infill,
 }
 
 ORACLES = {
     "op2_mixing": OP2_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_infill": OP11_SQL,
 }
