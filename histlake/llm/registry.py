@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from histlake.llm.divergence import OP12_SQL, op12_divergence
 from histlake.llm.infill import OP11_SQL, op11_infill
 from histlake.llm.line_dedup import OP9_SQL, op9_line_dedup
 from histlake.llm.mixing import OP2_SQL, op2_mixing
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
     "op11_infill": op11_infill,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLES = {
     "op2_mixing": OP2_SQL,
     "op9_line_dedup": OP9_SQL,
     "op11_infill": OP11_SQL,
+    "op12_divergence": OP12_SQL,
 }
