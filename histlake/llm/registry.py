@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from histlake.llm.chat import OP13_SQL, op13_chat
 from histlake.llm.divergence import OP12_SQL, op12_divergence
 from histlake.llm.infill import OP11_SQL, op11_infill
 from histlake.llm.line_dedup import OP9_SQL, op9_line_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_infill": op11_infill,
     "op12_divergence": op12_divergence,
+    "op13_chat": op13_chat,
 }
 
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op9_line_dedup": OP9_SQL,
     "op11_infill": OP11_SQL,
     "op12_divergence": OP12_SQL,
+    "op13_chat": OP13_SQL,
 }
