@@ -5,10 +5,10 @@ MinHash are formed by tensoring: from two collections of ``halves`` small hashes
 ``rows`` minhashes), every pair of one from each collection makes a key. ``halves**2`` tables
 of ``2 * rows`` minhashes thus take only ``2 * halves * rows`` minhash functions instead of
 ``2 * halves**2 * rows``: 11 and 3 here, so 121 tables of 6 rows from 66 functions. Two sets
-of similarity s share a key with probability (1 - (1 - s^3)^11)^2: 0.995 at 0.75. Two bits of
-each of ``sketch`` minhashes estimate a pair's similarity; a pair whose estimate is 3.7 standard
-deviations below the bound (one in 7,000 at the bound) is no candidate. ``sketch=0`` leaves
-this filter out: then every pair that shares a key is held against its full sets.
+of similarity s share a key with probability (1 - (1 - s^3)^11)^2: 0.995 at 0.75. Four bits of
+``sketch`` of the same minhashes estimate a pair's similarity; a pair whose estimate is 3.7
+standard deviations below the bound (one in 7,000 at the bound) is no candidate. ``sketch=0``
+leaves this filter out: then every pair that shares a key is held against its full sets.
 
 Candidates become links only if 100 * intersection >= 75 * union on the full sets. Components
 of the links are groups; a group keeps its smallest id.
@@ -34,8 +34,8 @@ this code, and each step's shuffle files and the tables it replaces go before th
 Defined cases: a null text, or one without words, has an empty set (n_shingles 0) and is
 linked with nothing; texts of any length are taken whole; a null id is linked with nothing,
 has a null component and is kept; rows that repeat an id count as one document that has each
-of their sets (and all of them are kept, or none); an empty table gives no rows; columns
-named like an output are replaced.
+of their sets: it joins the groups of all of them, and its rows are kept all, or none; an empty
+table gives no rows; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -107,10 +107,9 @@ def half_keys(least: np.ndarray, halves: int, rows: int) -> np.ndarray:
 
 
 def sketch_bits(least: np.ndarray) -> np.ndarray:
-    """Two mixed bits of every minhash, 32 to a long."""
-    mixed = (least * np.uint32(0x9E3779B1)) >> np.uint32(30)
-    bits = np.stack([mixed & 1, mixed >> 1], axis=1).astype(np.uint8).ravel()
-    return np.packbits(bits, bitorder="little").view("<i8")
+    """Four mixed bits of every minhash, 16 to a long."""
+    mixed = ((least * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint8)
+    return (mixed[::2] | mixed[1::2] << 4).view("<i8")
 
 
 def signatures(docs: DataFrame, *, words: int, halves: int, rows: int, sketch: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -121,7 +120,7 @@ def signatures(docs: DataFrame, *, words: int, halves: int, rows: int, sketch: i
     schema = pa.schema([("id", long), ("n", long), ("s1", long), ("s2", long), ("h", longs), ("k", longs)])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, params = Shingler(words), minhash_parameters(max(sketch, 2 * halves * rows), seed)
+        shingle, params = Shingler(words), minhash_parameters(2 * halves * rows, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -168,10 +167,11 @@ def _may_link(a: str, b: str, percent: int, sketch: int) -> Column:
     if not sketch:
         return sizes
     differ = F.lit(0)
-    for i in range(sketch // 32):
+    for i in range(sketch // 16):
         x = F.get(ka, F.lit(i)).bitwiseXOR(F.get(kb, F.lit(i)))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    agree = (1 + 3 * percent / 100) / 4  # two bits agree by chance, too
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    agree = (1 + 15 * percent / 100) / 16  # four bits agree by chance, too
     least = sketch * agree - 3.7 * (sketch * agree * (1 - agree)) ** 0.5
     return sizes & (sketch - differ >= F.lit(int(least)))
 
@@ -183,12 +183,17 @@ def near_duplicates(
     percent: int = 75,
     halves: int = 11,
     rows: int = 3,
-    sketch: int = 512,
+    sketch: int = 64,
     seed: int = 2024,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """id, n_shingles, component_id, kept: one row per row of ``docs``."""
+    """id, n_shingles, component_id, kept: one row per row of ``docs``.
+
+    ``sketch``: a multiple of 16, at most the functions there are (2 * halves * rows).
+    """
+    if sketch % 16 or not 0 <= sketch <= 2 * halves * rows:
+        raise ValueError(f"sketch must be a multiple of 16 up to {2 * halves * rows}, not {sketch}")
     signed = write_and_read(
         signatures(docs, words=words, halves=halves, rows=rows, sketch=sketch, seed=seed, id_col=id_col, text_col=text_col), "signatures"
     )
@@ -197,15 +202,16 @@ def near_duplicates(
     nodes = write_and_read(
         full.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("h").alias("h"), F.first("k").alias("k")), "nodes"
     )
+    names = full.select("s1", "s2", "id").join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
+    names = write_and_read(names.select("id", "node").distinct(), "members")
     links = _links(docs, nodes, words=words, percent=percent, halves=halves, sketch=sketch, id_col=id_col, text_col=text_col)
-    found = components(links)
-    # rows of one id with different sets are one document
-    nodes = full.groupBy("s1", "s2").agg(F.min("id").alias("node"))
-    names = full.select("s1", "s2", "id").join(nodes, ["s1", "s2"])
-    named = names.join(found, "node", "left").select("s1", "s2", "id", F.coalesce("component", "node").alias("component"))
-    named = named.distinct()
-    named = write_and_read(named, "members", replaces=[links])
-    own = signed.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "id"], "left")
+    # the nodes of one id are one document
+    several = names.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("id", "b")
+    of_one = names.join(several, "id").where("node > b").select(F.col("node").alias("a"), "b")
+    found = components(links.union(of_one))
+    by_id = names.join(found, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
+    by_id = write_and_read(by_id, "by-id", replaces=[links, names])
+    own = signed.select("id", "n").join(by_id, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return own.select(
         F.col("id").alias(id_col),

@@ -84,7 +84,7 @@ def test_recall_near_the_bound(spark):
     near = [d for d, s in similar.items() if 0.70 <= s <= 0.80]
     assert len(near) > 100
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for sketch in (512, 0):
+    for sketch in (64, 0):
         got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, sketch=sketch).collect()}
         linked = {d for d in similar if got[d] == got[d + 1]}
         true = {d for d in similar if 100 * len(sets[d] & sets[d + 1]) >= 75 * len(sets[d] | sets[d + 1])}
@@ -108,6 +108,17 @@ def test_odd_rows(odd, odd_rows, empty):
     assert near_duplicates(empty).count() == 0 and keep_first_of_groups(empty).count() == 0
 
 
+def test_an_id_with_several_texts_joins_their_groups(spark):
+    rng = random.Random(11)
+    a, b, c = ([f"{x}{i}" for i in range(50)] for x in "abc")
+    rows = [(3, a), (5, b), (26, a), (26, b), (7, c), (30, c[:-1] + ["z"]), (30, a[:-1] + ["y"]), (40, []), (40, b[:-1] + ["x"]), (50, []), (60, ["w"]), (60, ["v"])]
+    rows = [(d, " ".join(w)) for d, w in rows] + [(100 + k, " ".join(rng.choice([a, b, c])[k:])) for k in range(5)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute(rows)
+    assert want[26] == want[5] == want[40] == want[7] == want[30] == 3 and want[50] == 50
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == sorted((d, len(shingles(t)), want[d], want[d] == d) for d, t in rows)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
