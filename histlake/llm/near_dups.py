@@ -5,10 +5,11 @@ MinHash are formed by tensoring: from two collections of ``halves`` small hashes
 ``rows`` minhashes), every pair of one from each collection makes a key. ``halves**2`` tables
 of ``2 * rows`` minhashes thus take only ``2 * halves * rows`` minhash functions instead of
 ``2 * halves**2 * rows``: 11 and 3 here, so 121 tables of 6 rows from 66 functions. Two sets
-of similarity s share a key with probability (1 - (1 - s^3)^11)^2: 0.995 at 0.75. Four bits of
-``sketch`` of the same minhashes estimate a pair's similarity; a pair whose estimate is 3.7
-standard deviations below the bound (one in 7,000 at the bound) is no candidate. ``sketch=0``
-leaves this filter out: then every pair that shares a key is held against its full sets.
+of similarity s share a key with probability (1 - (1 - s^3)^11)^2: 0.995 at 0.75. A sketch of
+one more function, the least hash in each of ``sketch`` bins as four bits, estimates a pair's
+similarity; a pair whose estimate is 3.7 standard deviations below the bound (one in 7,000 at
+the bound) is no candidate. ``sketch=0`` leaves this filter out: then every pair that shares a
+key is held against its full sets.
 
 Candidates become links only if 100 * intersection >= 75 * union on the full sets. Components
 of the links are groups; a group keeps its smallest id.
@@ -106,10 +107,16 @@ def half_keys(least: np.ndarray, halves: int, rows: int) -> np.ndarray:
     return out
 
 
-def sketch_bits(least: np.ndarray) -> np.ndarray:
-    """Four mixed bits of every minhash, 16 to a long."""
-    mixed = ((least * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint8)
-    return (mixed[::2] | mixed[1::2] << 4).view("<i8")
+def bin_sketch(shingles: np.ndarray, bins: int) -> np.ndarray:
+    """Of each bin's least hash four bits, 1 to 15, or 0 where a bin is empty; 16 bins to a long."""
+    bits = bins.bit_length() - 1
+    h = ((shingles * _MIX) >> np.uint64(32)).astype(np.uint32)
+    h = np.sort((h & np.uint32(bins - 1)) << np.uint32(32 - bits) | h >> np.uint32(bits))
+    first = np.searchsorted(h, np.arange(bins, dtype=np.uint32) << np.uint32(32 - bits))
+    there = np.append(first[1:], len(h)) > first
+    least = h[np.minimum(first, len(h) - 1)]
+    code = np.where(there, 1 + (least * np.uint32(0x9E3779B1) >> np.uint32(16)) % 15, 0).astype(np.uint8)
+    return (code[::2] | code[1::2] << 4).view("<i8")
 
 
 def signatures(docs: DataFrame, *, words: int, halves: int, rows: int, sketch: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -133,7 +140,7 @@ def signatures(docs: DataFrame, *, words: int, halves: int, rows: int, sketch: i
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     s1, s2 = np.frombuffer(digest, "<i8").tolist()
                     least = minhashes(s, params)
-                    out.append((i, len(s), s1, s2, half_keys(least, halves, rows).view(np.int64), sketch_bits(least[:sketch])))
+                    out.append((i, len(s), s1, s2, half_keys(least, halves, rows).view(np.int64), bin_sketch(s, sketch) if sketch else []))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
@@ -166,14 +173,16 @@ def _may_link(a: str, b: str, percent: int, sketch: int) -> Column:
     sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
     if not sketch:
         return sizes
-    differ = F.lit(0)
-    for i in range(sketch // 16):
-        x = F.get(ka, F.lit(i)).bitwiseXOR(F.get(kb, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-    agree = (1 + 15 * percent / 100) / 16  # four bits agree by chance, too
-    least = sketch * agree - 3.7 * (sketch * agree * (1 - agree)) ** 0.5
-    return sizes & (sketch - differ >= F.lit(int(least)))
+
+    def nibbles(longs: Column) -> Column:
+        """How many groups of four bits have one set."""
+        two = F.transform(longs, lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1)))
+        return F.aggregate(two, F.lit(0), lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))))
+
+    differ = nibbles(F.zip_with(ka, kb, lambda x, y: x.bitwiseXOR(y)))
+    held = nibbles(F.zip_with(ka, kb, lambda x, y: x.bitwiseOR(y)))
+    agree = (1 + 14 * percent / 100) / 15  # four bits agree by chance, too
+    return sizes & (held - differ >= held * F.lit(agree) - 3.7 * F.sqrt(held * F.lit(agree * (1 - agree))))
 
 
 def near_duplicates(
@@ -183,17 +192,17 @@ def near_duplicates(
     percent: int = 75,
     halves: int = 11,
     rows: int = 3,
-    sketch: int = 64,
+    sketch: int = 256,
     seed: int = 2024,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """id, n_shingles, component_id, kept: one row per row of ``docs``.
 
-    ``sketch``: a multiple of 16, at most the functions there are (2 * halves * rows).
+    ``sketch``: 0, or a power of two from 16 on.
     """
-    if sketch % 16 or not 0 <= sketch <= 2 * halves * rows:
-        raise ValueError(f"sketch must be a multiple of 16 up to {2 * halves * rows}, not {sketch}")
+    if sketch and (sketch < 16 or sketch & (sketch - 1)):
+        raise ValueError(f"sketch must be 0 or a power of two from 16 on, not {sketch}")
     signed = write_and_read(
         signatures(docs, words=words, halves=halves, rows=rows, sketch=sketch, seed=seed, id_col=id_col, text_col=text_col), "signatures"
     )

@@ -84,7 +84,7 @@ def test_recall_near_the_bound(spark):
     near = [d for d, s in similar.items() if 0.70 <= s <= 0.80]
     assert len(near) > 100
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for sketch in (64, 0):
+    for sketch in (256, 0):
         got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, sketch=sketch).collect()}
         linked = {d for d in similar if got[d] == got[d + 1]}
         true = {d for d in similar if 100 * len(sets[d] & sets[d + 1]) >= 75 * len(sets[d] | sets[d + 1])}
@@ -108,6 +108,22 @@ def test_odd_rows(odd, odd_rows, empty):
     assert near_duplicates(empty).count() == 0 and keep_first_of_groups(empty).count() == 0
 
 
+def test_sketches_estimate_similarity():
+    from histlake.llm.near_dups import bin_sketch
+
+    rng = np.random.default_rng(2)
+    for n in (40, 400, 4000):
+        for part in (0.5, 0.75, 0.95):
+            seen = []
+            for _ in range(60):
+                both, more = rng.integers(0, 2**63, int(n * part), dtype=np.uint64), rng.integers(0, 2**63, (2, (n - int(n * part)) // 2), dtype=np.uint64)
+                x, y = (np.array([int(b) for b in bin_sketch(np.concatenate([both, m]), 256).view(np.uint8)]) for m in more)
+                x, y = (np.concatenate([c & 15, c >> 4]) for c in (x, y))
+                held = (x | y) > 0
+                seen.append((x == y)[held].mean())
+            assert abs(np.mean(seen) - (1 + 14 * part) / 15) < 0.03
+
+
 def test_an_id_with_several_texts_joins_their_groups(spark):
     rng = random.Random(11)
     a, b, c = ([f"{x}{i}" for i in range(50)] for x in "abc")
@@ -188,20 +204,20 @@ def test_neighbours_recall_holds_with_many_lists(spark):
 
 
 def test_sketch_cut_is_far_below_the_bound(spark):
-    """Of pairs at similarity 0.75, one in 5,000 at most may differ in more of its 512 places than the filter allows."""
+    """Of pairs at similarity 0.75, one in 5,000 at most may differ in more of their bins than the filter allows."""
     from math import comb
 
     from histlake.llm.near_dups import _may_link
 
-    def row(differ):
-        words = [0] * 32  # 32 bits each, 16 places of two bits
-        for i in range(differ):
-            words[i // 16] |= 1 << 2 * (i % 16)
-        longs = [words[2 * i] | words[2 * i + 1] << 32 for i in range(16)]
-        return (differ, 100, 100, [0] * 16, [x - 2**64 if x >= 2**63 else x for x in longs])
-
-    rows = spark.createDataFrame([row(d) for d in range(513)], "differ int, an int, bn int, ak array<long>, bk array<long>")
-    passed = {r["differ"] for r in rows.where(_may_link("a", "b", 75, 512)).select("differ").collect()}
-    p = 0.25 * 0.75  # a differing minhash agrees in two bits by chance
-    lost = sum(comb(512, d) * p**d * (1 - p) ** (512 - d) for d in range(513) if d not in passed)
-    assert 0 < lost < 2e-4
+    def longs(codes):
+        return np.array([a | b << 4 for a, b in zip(codes[::2], codes[1::2], strict=True)], np.uint8).view("<i8").tolist()
+
+    def row(differ, held=256):
+        return (differ, held, 100, 100, longs([1] * held + [0] * (256 - held)), longs([2] * differ + [1] * (held - differ) + [0] * (256 - held)))
+
+    rows = spark.createDataFrame([row(d, n) for n in (256, 90, 12) for d in range(n + 1)], "differ int, held int, an int, bn int, ak array<long>, bk array<long>")
+    passed = {(r["held"], r["differ"]) for r in rows.where(_may_link("a", "b", 75, 256)).select("held", "differ").collect()}
+    p = 1 - (1 + 14 * 0.75) / 15  # four bits of differing hashes agree by chance, too
+    for n in (256, 90, 12):
+        lost = sum(comb(n, d) * p**d * (1 - p) ** (n - d) for d in range(n + 1) if (n, d) not in passed)
+        assert 0 < lost < 4e-4 and (n, 0) in passed and (n, n) not in passed
