@@ -1,3 +1,3 @@
 """Queries over the tables, registered by name with the SQL that gives the same rows."""
 
-from histlake.plans import events, records, retrieval, streams, upkeep  # noqa: F401
+from histlake.plans import events, growth, records, retrieval, streams, upkeep  # noqa: F401
