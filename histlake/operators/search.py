@@ -15,6 +15,17 @@ from histlake.operators.lexical import with_bm25
 from histlake.operators.semantic import semantic_candidates
 
 BODY = ["text", "theme", "category", "asset_type", "tier"]
+#: BM25 scores, and the columns of each.
+ENGINES = {"__body_bm25": BODY, "__title_bm25": ["scope_title"]}
+
+
+def body_text() -> Column:
+    """What terms are looked for in."""
+    return F.lower(F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("")) for c in BODY]))
+
+
+def title_text() -> Column:
+    return F.lower(F.coalesce("scope_title", F.lit("")))
 
 
 @dataclass(frozen=True)
@@ -124,7 +135,7 @@ def _pick(values: dict, key: str, default) -> Column:
     return out
 
 
-def search(knowledge: DataFrame, spec: SearchSpec, semantic: DataFrame | None = None) -> DataFrame:
+def search(knowledge: DataFrame, spec: SearchSpec, semantic: DataFrame | None = None, *, facts: DataFrame | None = None) -> DataFrame:
     """Ranked records: rank, record_id, tier, scope_id, score, body_matches, title_matches, duplicate_count, duplicates, duplicate_scopes.
 
     Candidates are, per tier, the best by BM25 of bodies, the best by BM25 of titles and the
@@ -132,14 +143,13 @@ def search(knowledge: DataFrame, spec: SearchSpec, semantic: DataFrame | None =
     (record_id, similarity). The query's terms are literals: a row that is found scores in its
     scan and goes on as numbers and hashes, once for each way it was found, so that Spark cuts
     every quota before the exchange. Without a limit there are no quotas. Equal texts of a tier
-    (case kept) are one result.
+    (case kept) are one result. ``facts``: if ``knowledge`` are only the records that may hold a
+    term, the row count and mean lengths of all (see ``with_bm25``).
     """
     wanted, unwanted = parse_terms(spec.query, spec.exclude)
     groups = alias_groups(wanted, spec.aliases)
     rows = knowledge.where(predicate(spec.filters))
-    body = F.lower(F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("")) for c in BODY]))
-    title = F.lower(F.coalesce("scope_title", F.lit("")))
-    rows = rows.withColumns({"__body": body, "__title": title})
+    rows = rows.withColumns({"__body": body_text(), "__title": title_text()})
     if unwanted:
         rows = rows.where(~(_has(F.col("__body"), unwanted) | _has(F.col("__title"), unwanted)))
     in_body = [_has(F.col("__body"), g) for g in groups]
@@ -156,8 +166,7 @@ def search(knowledge: DataFrame, spec: SearchSpec, semantic: DataFrame | None =
         accepted = near
     else:
         accepted = (n > 0) | near
-    engines = {"__body_bm25": BODY, "__title_bm25": ["scope_title"]}
-    scored = with_bm25(rows.where(accepted), knowledge, engines, groups, require="all" if spec.mode == "all" else "any")
+    scored = with_bm25(rows.where(accepted), knowledge, ENGINES, groups, require="all" if spec.mode == "all" else "any", facts=facts)
     lexical = F.greatest(F.col("__body_bm25") / C.BODY_ENGINE, F.col("__title_bm25") / C.TITLE_ENGINE)
     # a hash, so that no text is exchanged
     ranked = scored.withColumns({"bm25": lexical, "__key": F.sha2(normalize_text("text", ASCII_BLANK), 256)}).drop(*BODY[:3], "__body", "__title", "scope_title")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from histlake.functions import constants as C
 from histlake.operators import search as S
 from histlake.operators.lexical import bm25
+from histlake.operators.postings import Index, build_index
 from histlake.operators.semantic import embedding_plan, semantic_candidates, semantic_documents
 from histlake.plans.projection import KNOWLEDGE_SQL, OCCURRENCES_SQL, knowledge, occurrences, with_
 from histlake.plans.registry import query
-from histlake.sources import read_table
+from histlake.sources import read_table, work_path
 
 BODY_TEXT = "lower(text || chr(10) || theme || chr(10) || category || chr(10) || asset_type || chr(10) || tier)"
 
@@ -78,6 +79,18 @@ def search_all(spark, sf):
     return S.search(knowledge(spark, sf), S.SearchSpec("tion src3", mode="all", limit=15))
 
 
+def indexed(spark, sf):
+    path = work_path(spark, "index")
+    build_index(knowledge(spark, sf), path)
+    return Index(spark, path)
+
+
+@query("search_indexed", full_search([["anties"], ["mente"], ["pfer"]], limit=20))
+def search_indexed(spark, sf):
+    """The rows of ``search_any``, by an index of trigrams."""
+    return indexed(spark, sf).search(S.SearchSpec("anties mente pfer", limit=20))
+
+
 @query("search_negative_terms", full_search([["ever"]], unwanted=("the", "scope src1"), limit=12))
 def search_negative_terms(spark, sf):
     return S.search(knowledge(spark, sf), S.SearchSpec('ever -the -"scope src1"', limit=12))
