@@ -7,9 +7,10 @@ of ``2 * rows`` minhashes thus take only ``2 * halves * rows`` minhash functions
 ``2 * halves**2 * rows``: 11 and 3 here, so 121 tables of 6 rows from 66 functions. Two sets
 of similarity s share a key with probability (1 - (1 - s^3)^11)^2: 0.995 at 0.75. A sketch of
 one more function, the least hash in each of ``sketch`` bins as four bits, estimates a pair's
-similarity; a pair whose estimate is 3.7 standard deviations below the bound (one in 7,000 at
-the bound) is no candidate. ``sketch=0`` leaves this filter out: then every pair that shares a
-key is held against its full sets.
+similarity; a pair whose estimate is four standard deviations below the bound is no candidate.
+Bins draw from a set without replacement, so of small sets the estimate is nearly exact.
+``sketch=0`` leaves this filter out: then every pair that shares a key is held against its full
+sets.
 
 Candidates become links only if 100 * intersection >= 75 * union on the full sets. Components
 of the links are groups; a group keeps its smallest id.
@@ -181,8 +182,13 @@ def _may_link(a: str, b: str, percent: int, sketch: int) -> Column:
 
     differ = nibbles(F.zip_with(ka, kb, lambda x, y: x.bitwiseXOR(y)))
     held = nibbles(F.zip_with(ka, kb, lambda x, y: x.bitwiseOR(y)))
-    agree = (1 + 14 * percent / 100) / 15  # four bits agree by chance, too
-    return sizes & (held - differ >= held * F.lit(agree) - 3.7 * F.sqrt(held * F.lit(agree * (1 - agree))))
+    # at the bound: bins that agree, four bits of different hashes by chance, and how far their number strays;
+    # drawn without replacement from a union of so many
+    alike = percent / 100
+    union = (na + nb) / (1 + alike)
+    rest = F.greatest(F.lit(0.0), 1 - held / union)
+    strays = held * (F.lit(alike * (1 - alike) * (14 / 15) ** 2) * rest + F.lit((1 - alike) * 14 / 225))
+    return sizes & (held - differ >= held * F.lit((1 + 14 * alike) / 15) - 4 * F.sqrt(strays) - 0.5)
 
 
 def near_duplicates(
@@ -192,7 +198,7 @@ def near_duplicates(
     percent: int = 75,
     halves: int = 11,
     rows: int = 3,
-    sketch: int = 256,
+    sketch: int = 512,
     seed: int = 2024,
     id_col: str = "doc_id",
     text_col: str = "text",
