@@ -4,27 +4,32 @@ Largest inner product is nearest distance once every vector gets one more compon
 sqrt(longest^2 - length^2) (0 for queries). Centroids come from a bounded, documented sample
 (``sample_rows``): k-means whose lists above their fair share are split, so lists stay
 balanced. Every vector goes to its nearest centroid's list and, near a boundary, to those
-whose squared distance is within ``replicate_ratio`` of the nearest's, at most
-``max_copies``, found by walks of a k-nearest-neighbour graph of the centroids. Lists near
-one another form a cell. A query, scaled to the longest length (which changes no order and
-leaves its distances without a common offset), opens all lists whose squared distance is
-within a ratio of the nearest's (at least ``min_lists``), however many, with the rest of their
-cells. The ratio is ``prune_ratio``, or more if fewer than ``recall`` of the true neighbours
-within a sample would be met: then the one that meets them. Opened cells are scanned with
-exact inner products in double precision.
-
-Scale: cells are cut into blocks of about ``block_values`` components by a hash of the id, so a
-cell that outgrows its share (the sample is bounded, the table is not) is scanned by many
-tasks, and so are queries into slices of ``slice_rows``. Where vectors have no clusters, most
-cells open and the scans grow as queries times rows: recall is kept, not time. Equal
-vectors are one candidate: of each, only the k + 1 least ids can ever be among a query's k
-nearest, so a vector that a third of all rows share costs k + 1 rows. The broadcast holds
-centroids and graph only: at most ``max_centroids`` times the dimension.
+whose squared distance is within ``replicate_ratio`` of the nearest's, at most ``max_copies``.
+A query, scaled to the longest length (which changes no order and leaves its distances without
+a common offset), opens the lists whose squared distance is within a ratio of the nearest's,
+however many, and ``min_lists`` at least. Vectors and queries find their lists by walks of a graph
+in memory: each centroid's nearest others, and a few at random that keep it in one piece; a walk
+that is still within the ratio at its end goes on with twice the breadth. The ratio is measured:
+the least at which ``recall`` of the true neighbours within a sample lie in opened lists.
+
+The posting list is what is stored and scanned: of a list, the queries that open it meet its
+vectors, in exact inner products of double precision, and no other list's. Lists near one another
+share a group of Spark's (a cell), so that what a query opens lies in few of them; ``search_work``
+tells how many lists each query opens and how many vectors it is held against.
+
+Scale: a list that outgrows ``block_values`` components (the sample is bounded, the table is
+not) is cut into blocks by a hash of the id, and the queries of a list into slices of
+``slice_rows``; only such lists and queries are exchanged more than once, and lists that no
+query opens not at all. Where vectors have no clusters, many lists open: recall is kept, not
+time. Equal vectors are one candidate: of each, only the k + 1 least ids can ever be among a
+query's k nearest, so a vector that a third of all rows share costs k + 1 rows. The broadcast
+holds centroids and graph only: at most ``max_centroids`` times the dimension.
 
 Defined cases: vectors that are null, empty, zero, or hold a null, NaN or infinite component,
-or whose length differs from the most common one, and rows with a null id, take no part.
-Repeated rows with one id and vector count once. Ties go to the smaller id. Fewer than k
-candidates give fewer rows; an empty table gives none. Other columns don't matter.
+or whose length differs from the most common one, and rows with a null id, take no part. Of an
+id with several vectors, the least (component by component) counts, as query and as candidate.
+Ties go to the smaller id. Fewer than k candidates give fewer rows; an empty table gives none.
+Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -42,10 +47,11 @@ from histlake.sources import read_table, write_and_read
 
 @dataclass(frozen=True)
 class Index:
-    """Centroids in the lifted space, and a graph of each one's nearest others."""
+    """Centroids in the lifted space, and the graph in which they are searched."""
 
     centroids: np.ndarray
     graph: np.ndarray
+    entries: np.ndarray
     longest2: float
 
     def lift(self, x: np.ndarray, query: bool = False) -> np.ndarray:
@@ -54,40 +60,76 @@ class Index:
         rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.longest2 - (x * x).sum(1)))
         return np.hstack([x, rest[:, None]])
 
-    def nearest(self, lifted: np.ndarray, n: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and squared distances of about the n nearest centroids, by best-first walks of the graph."""
+    def dense(self, lifted: np.ndarray) -> np.ndarray:
+        """All squared distances."""
+        c = self.centroids
+        return np.maximum(0.0, (lifted * lifted).sum(1)[:, None] + (c * c).sum(1) - 2 * lifted @ c.T)
+
+    def walk(self, x: np.ndarray, beam: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and squared distances of about the ``beam`` nearest centroids, ascending, by best-first walks,
+        ``step`` centroids of each at a time."""
+        k = len(self.centroids)
+        beam, row = min(beam, k), np.arange(len(x))[:, None]
+        seen = np.zeros((len(x), k), bool)
+        seen[:, self.entries] = True
+        entry = self.centroids[self.entries]
+        ids = np.broadcast_to(self.entries, (len(x), len(self.entries)))
+        dist = np.maximum(0.0, (x * x).sum(1)[:, None] + (entry * entry).sum(1) - 2 * x @ entry.T)
+        done = np.zeros(ids.shape, bool)
+        while True:
+            if ids.shape[1] > beam:
+                keep = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
+                ids, dist, done = (np.take_along_axis(v, keep, 1) for v in (ids, dist, done))
+            open_ = np.where(done, np.inf, dist)
+            at = np.argpartition(open_, min(step, open_.shape[1]) - 1, axis=1)[:, :step]
+            use = np.isfinite(np.take_along_axis(open_, at, 1))
+            if not use.any():
+                break
+            np.put_along_axis(done, at, True, 1)
+            near = self.graph[np.take_along_axis(ids, at, 1)]
+            near = np.sort(np.where(use[:, :, None], near, -1).reshape(len(x), -1), axis=1)
+            fresh = (near >= 0) & ~seen[row, near]
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
+            r, c = np.nonzero(fresh)
+            found = near[r, c]
+            seen[r, found] = True
+            d = np.full(near.shape, np.inf)
+            away = self.centroids[found] - x[r]
+            d[r, c] = np.einsum("ij,ij->i", away, away)
+            ids, dist, done = np.hstack([ids, near]), np.hstack([dist, d]), np.hstack([done, ~fresh])
+        order = np.lexsort((ids, dist), axis=1)
+        ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+        return ids[:, :beam], dist[:, :beam]
+
+    def nearest(self, lifted: np.ndarray, n: int, beam: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """The n nearest of a walk (infinitely far where there are fewer)."""
+        parts = [self.walk(lifted[a : a + 256], max(n, beam)) for a in range(0, len(lifted), 256)]
+        ids, dist = (np.vstack([p[j] for p in parts]) for j in (0, 1))
+        return ids[:, :n], dist[:, :n]
+
+    def within(self, lifted: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and numbers of the centroids within ``ratio`` of each row's nearest, ``least`` at least."""
         k = len(self.centroids)
-        n = min(n, k)
-        ids, dist = np.zeros((len(lifted), n), np.int64), np.zeros((len(lifted), n))
-        entries = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(int))
-        for row, x in enumerate(lifted):
-            known = np.full(k, -1.0)
-
-            def measure(which: np.ndarray, x=x, known=known) -> None:
-                d = self.centroids[which] - x
-                known[which] = (d * d).sum(1)
-
-            measure(entries)
-            frontier = list(entries)
-            done = np.zeros(k, bool)
-            while frontier:
-                at = min(frontier, key=lambda c: known[c])
-                frontier.remove(at)
-                seen = np.flatnonzero(known >= 0)
-                if done.sum() >= beam and known[at] > np.partition(known[seen], min(beam, len(seen)) - 1)[min(beam, len(seen)) - 1]:
-                    break
-                done[at] = True
-                new = self.graph[at][known[self.graph[at]] < 0]
-                if len(new):
-                    measure(new)
-                    frontier += new.tolist()
-            seen = np.flatnonzero(known >= 0)
-            best = seen[np.lexsort((seen, known[seen]))][:n]
-            if len(best) < n:  # a graph in parts
-                best = np.argsort(((self.centroids - x) ** 2).sum(1), kind="stable")[:n]
-                measure(best)
-            ids[row], dist[row] = best, known[best]
-        return ids, dist
+        left, beam = np.arange(len(lifted)), max(64, 2 * least)
+        rows, lists = [], []
+        while len(left):
+            again = []
+            for a in range(0, len(left), 256):
+                part = left[a : a + 256]
+                if 2 * beam >= k:  # as good as all of them
+                    dist = self.dense(lifted[part])
+                    ids = np.argsort(dist, axis=1, kind="stable")
+                    dist = np.take_along_axis(dist, ids, 1)
+                else:
+                    ids, dist = self.walk(lifted[part], beam)
+                limit = np.maximum(dist[:, :1] * ratio, dist[:, min(least, dist.shape[1]) - 1][:, None]) + 1e-12
+                more = (dist[:, -1] <= limit[:, 0]) & (dist.shape[1] < k)
+                r, c = np.nonzero((dist <= limit) & ~more[:, None])
+                rows.append(part[r])
+                lists.append(ids[r, c])
+                again.append(part[more])
+            left, beam = np.concatenate(again), 2 * beam
+        return np.concatenate(rows), np.concatenate(lists)
 
 
 def _balanced_kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
@@ -122,27 +164,29 @@ def _nearest_dense(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[a : a + 4096] @ centroids.T - half, axis=1) for a in range(0, len(x), 4096)])
 
 
-def build_index(sample: np.ndarray, longest2: float, *, list_rows: int, max_centroids: int, degree: int = 24, seed: int = 11, total: int | None = None) -> Index:
+def build_index(sample: np.ndarray, longest2: float, *, list_rows: int, max_centroids: int, degree: int = 24, far: int = 4, seed: int = 11, total: int | None = None) -> Index:
+    """``degree``: nearest others of a centroid in the graph; ``far``: others at random."""
     rng = np.random.default_rng(seed)
-    plain = Index(np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 0), np.int64), longest2)
-    lifted = plain.lift(sample)
+    lifted = Index(np.zeros((1, 1)), np.zeros((1, 0), np.int64), np.zeros(1, np.int64), longest2).lift(sample)
     k = int(min(max_centroids, max(1, (total or len(sample)) // list_rows), max(1, len(sample) // 4)))
     centroids = _balanced_kmeans(lifted, k, rng)
     k = len(centroids)
     degree = min(degree, k - 1)
     half = 0.5 * (centroids * centroids).sum(1)
-    graph = np.zeros((k, degree), np.int64)
+    graph = np.zeros((k, degree + far), np.int64)
+    graph[:, degree:] = rng.integers(0, k, (k, far))
     for a in range(0, k, 1024):
         score = centroids[a : a + 1024] @ centroids.T - half
         score[np.arange(len(score)), a + np.arange(len(score))] = -np.inf
         if degree:
-            graph[a : a + 1024] = np.argpartition(-score, degree - 1, axis=1)[:, :degree]
-    return Index(centroids, graph, longest2)
+            graph[a : a + 1024, :degree] = np.argpartition(-score, degree - 1, axis=1)[:, :degree]
+    entries = np.sort(rng.choice(k, min(k, 2 * int(np.ceil(np.sqrt(k)))), replace=False))
+    return Index(centroids, graph, entries, longest2)
 
 
 @dataclass(frozen=True)
-class Cells:
-    """Lists near one another as one unit of storage and scanning."""
+class Lists:
+    """Which lists vectors are posted to and queries open; lists near one another have one cell."""
 
     index: Index
     cell: np.ndarray
@@ -151,37 +195,28 @@ class Cells:
     min_lists: int
 
     def post(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and the cells that hold them, each pair once."""
-        ids, dist = self.index.nearest(self.index.lift(x), self.max_copies, 32)
+        """Rows and the lists that hold them."""
+        ids, dist = self.index.nearest(self.index.lift(x), self.max_copies)
         row, copy = np.nonzero(dist <= dist[:, :1] * self.replicate_ratio + 1e-12)
-        pairs = np.unique(np.stack([row, self.cell[ids[row, copy]]], axis=1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
-
-    def ratios(self, x: np.ndarray) -> np.ndarray:
-        """For queries by cells, the least ratio that opens the cell; 1 for those of the nearest lists."""
-        c, q = self.index.centroids, self.index.lift(x, query=True)
-        dist = np.maximum(0.0, (q * q).sum(1)[:, None] + (c * c).sum(1) - 2 * q @ c.T)
-        nearest = np.argpartition(dist, min(self.min_lists, len(c)) - 1, axis=1)[:, : self.min_lists]
-        order = np.argsort(self.cell, kind="stable")
-        least = np.minimum.reduceat(dist[:, order], np.flatnonzero(np.r_[True, np.diff(self.cell[order]) > 0]), axis=1)
-        base = least.min(1, keepdims=True)
-        out = np.where(least <= base + 1e-12, 1.0, least / np.maximum(base, 1e-300))
-        np.put_along_axis(out, self.cell[nearest], 1.0, axis=1)
-        return out
-
-
-def build_cells(index: Index, n: int, *, seed: int = 12, **options) -> Cells:
-    pick = np.random.default_rng(seed).choice(len(index.centroids), min(n, len(index.centroids)), replace=False)
+        return row, ids[row, copy]
+
+    def open(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and the lists that they open."""
+        return self.index.within(self.index.lift(x, query=True), ratio, self.min_lists)
+
+
+def make_lists(index: Index, n_cells: int, *, seed: int = 12, **options) -> Lists:
+    pick = np.random.default_rng(seed).choice(len(index.centroids), min(n_cells, len(index.centroids)), replace=False)
     cell = np.unique(_nearest_dense(index.centroids, index.centroids[pick]), return_inverse=True)[1].ravel()
-    return Cells(index, cell, **options)
+    return Lists(index, cell, **options)
 
 
-def calibrate(cells: Cells, sample: np.ndarray, *, k: int, total: int, recall: float) -> float:
+def calibrate(lists: Lists, sample: np.ndarray, *, k: int, total: int, recall: float) -> float:
     """The least ratio at which queries of the sample meet ``recall`` of their neighbours.
 
     Of ``total`` vectors' k nearest, about k * len(sample) / total lie in the sample.
     """
-    if cells.cell.max() == 0 or len(sample) < 2:
+    if len(lists.index.centroids) == 1 or len(sample) < 2:
         return 1.0
     near = int(np.clip(round(k * len(sample) / total), 1, len(sample) - 1))
     n = min(len(sample), int(np.clip(4000 // near, 200, 2000)))
@@ -191,13 +226,19 @@ def calibrate(cells: Cells, sample: np.ndarray, *, k: int, total: int, recall: f
         score = q @ sample.T
         score[np.arange(len(q)), a + np.arange(len(q))] = -np.inf
         found.append(np.argpartition(-score, near - 1, axis=1)[:, :near])
-        ratios.append(cells.ratios(q))
+        dist = lists.index.dense(lists.index.lift(q, query=True))
+        base = np.partition(dist, min(lists.min_lists, dist.shape[1]) - 1, axis=1)
+        first = base.min(1, keepdims=True)
+        # those open at any ratio count as 1
+        ratios.append(np.where(dist <= base[:, [min(lists.min_lists, dist.shape[1]) - 1]], 1.0, dist / np.maximum(first, 1e-300)))
     found, ratios = np.vstack(found), np.vstack(ratios)
     asked, where = np.unique(found, return_inverse=True)
-    held = np.zeros((len(asked), ratios.shape[1]), bool)
-    held[cells.post(sample[asked])] = True
-    where = where.reshape(found.shape)
-    needed = np.concatenate([np.where(held[w], r, np.inf).min(1) for w, r in zip(where, ratios, strict=True)])
+    row, held = lists.post(sample[asked])
+    homes = np.full((len(asked), lists.max_copies), -1)
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    homes[row, place] = held
+    homes = homes[where.reshape(found.shape)]
+    needed = np.where(homes >= 0, np.take_along_axis(ratios[:, None, :], homes.reshape(len(found), 1, -1) * (homes.reshape(len(found), 1, -1) >= 0), 2).reshape(homes.shape), np.inf).min(2)
     return float(np.quantile(needed, recall, method="higher"))
 
 
@@ -216,35 +257,27 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64) if len(series) else np.zeros((0, 0))
 
 
-def search(
-    vectors: DataFrame,
-    *,
-    k: int = 20,
-    every: int = 20,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    sample_rows: int = 20_000,
-    list_rows: int = 64,
-    max_centroids: int = 16_384,
-    replicate_ratio: float = 1.15,
-    max_copies: int = 4,
-    prune_ratio: float = 1.6,
-    min_lists: int = 24,
-    recall: float = 0.995,
-    block_values: int = 2**21,
-    slice_rows: int = 16_384,
-) -> DataFrame:
-    """query_id, rank, vec_id, score: for ids divisible by ``every``, their k nearest others."""
-    spark = vectors.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
-    valid = write_and_read(_valid(vectors, id_col, vector_col), "vectors")
-    facts = valid.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)).alias("longest2")).first()
+@dataclass
+class _Plan:
+    """What a search is made of: vectors by id, groups of equal ones, lists, and who opens which."""
+
+    vectors: DataFrame
+    groups: DataFrame
+    lists: Lists
+    ratio: float
+    block_rows: int
+
+
+def _plan(vectors: DataFrame, *, k: int, id_col: str, vector_col: str, sample_rows: int, list_rows: int, max_centroids: int, replicate_ratio: float, max_copies: int, min_lists: int, recall: float, block_values: int) -> _Plan | None:
+    one = _valid(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
+    one = write_and_read(one, "vectors")
+    facts = one.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)).alias("longest2")).first()
     if not facts["n"]:
-        return spark.createDataFrame([], out)
+        return None
     # Of equal vectors, the k + 1 least ids; first within hashed shares, so that no task meets them all.
     mine = Window.partitionBy("v", "share").orderBy("vec_id")
     all_of = Window.partitionBy("v").orderBy("vec_id")
-    shares = valid.distinct().withColumn("share", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    shares = one.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     few = shares.withColumn("r", F.row_number().over(mine)).where(F.col("r") <= k + 1)
     few = few.withColumn("r", F.row_number().over(all_of)).where(F.col("r") <= k + 1)
     groups = write_and_read(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vector-groups")
@@ -254,71 +287,116 @@ def search(
     sample = _stack(groups.select("v").orderBy(F.xxhash64(F.lit("sample"), "v")).limit(2 * sample_rows).toPandas()["v"])
     index = build_index(sample[:sample_rows], facts["longest2"], list_rows=list_rows, max_centroids=max_centroids, total=n_groups)
     block_rows = max(1, block_values // sample.shape[1])
-    cells = build_cells(index, -(-n_groups // block_rows), max_copies=max_copies, replicate_ratio=replicate_ratio, min_lists=min_lists)
-    # fitted vectors lie nearer to the centroids than others; they count only where most of the table is fitted
-    unseen = sample[sample_rows:] if len(sample) >= 1.5 * sample_rows else sample
-    ratio = max(prune_ratio, calibrate(cells, unseen, k=k, total=n_groups, recall=recall))
-    shared = spark.sparkContext.broadcast(cells)
+    lists = make_lists(index, -(-n_groups // block_rows), max_copies=max_copies, replicate_ratio=replicate_ratio, min_lists=min_lists)
+    # fitted vectors lie nearer to the centroids than others: they measure it in their share of the table
+    fitted, unseen = sample[:sample_rows], sample[sample_rows:]
+    n_fitted = round(len(unseen) * len(fitted) / (n_groups - len(fitted))) if len(unseen) else len(fitted)
+    measured = np.random.default_rng(13).permutation(np.vstack([unseen, fitted[:n_fitted]]))
+    return _Plan(one, groups, lists, calibrate(lists, measured, k=k, total=n_groups, recall=recall), block_rows)
+
+
+def _posted(plan: _Plan) -> DataFrame:
+    """cell, list, ids, v: the posting lists."""
+    shared = plan.vectors.sparkSession.sparkContext.broadcast(plan.lists)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                row, cell = shared.value.post(_stack(pdf["v"]))
-                yield pd.DataFrame({"cell": cell, "ids": pdf["ids"].to_numpy()[row], "v": pdf["v"].to_numpy()[row]})
+                row, found = shared.value.post(_stack(pdf["v"]))
+                yield pd.DataFrame({"cell": shared.value.cell[found], "list": found, "ids": pdf["ids"].to_numpy()[row], "v": pdf["v"].to_numpy()[row]})
+
+    return write_and_read(plan.groups.mapInPandas(post, "cell long, list long, ids array<long>, v array<double>"), "postings")
+
+
+def _asked(plan: _Plan, every: int) -> DataFrame:
+    """cell, list, query_id: the lists that each query opens."""
+    spark = plan.vectors.sparkSession
+    shared, ratio = spark.sparkContext.broadcast(plan.lists), plan.ratio
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 256):
                 part = pdf.iloc[a : a + 256]
-                row, cell = np.nonzero(shared.value.ratios(_stack(part["v"])) <= ratio + 1e-12)
-                yield pd.DataFrame({"cell": cell, "query_id": part["vec_id"].to_numpy()[row], "q": part["v"].to_numpy()[row]})
+                row, found = shared.value.open(_stack(part["v"]), ratio)
+                yield pd.DataFrame({"cell": shared.value.cell[found], "list": found, "query_id": part["vec_id"].to_numpy()[row]})
 
-    posted = write_and_read(groups.mapInPandas(post, "cell long, ids array<long>, v array<double>"), "postings")
-    sizes = posted.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    sizes = write_and_read(sizes, "cell-sizes")
     # a number of partitions of its own, else the few bytes of all queries are put into one task
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chosen = valid.where(F.col("vec_id") % every == 0).distinct().repartition(tasks, "vec_id")
-    slices = max(1, -(-chosen.count() // slice_rows))
+    chosen = plan.vectors.where(F.col("vec_id") % every == 0).repartition(tasks, "vec_id")
+    return write_and_read(chosen.mapInPandas(ask, "cell long, list long, query_id long"), "opened")
+
+
+DEFAULTS = {"sample_rows": 20_000, "list_rows": 64, "max_centroids": 16_384, "replicate_ratio": 1.03, "max_copies": 3, "min_lists": 4, "recall": 0.96, "block_values": 2**17, "id_col": "vec_id", "vector_col": "embedding"}
+
+
+def search_work(vectors: DataFrame, *, k: int = 20, every: int = 20, **options) -> DataFrame:
+    """query_id, lists, scanned: how many lists a query opens, and how many stored vectors it is held against."""
+    plan = _plan(vectors, k=k, **{**DEFAULTS, **options})
+    if plan is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, lists long, scanned long")
+    sizes = _posted(plan).groupBy("list").agg(F.count("*").alias("n"))
+    return _asked(plan, every).join(sizes, "list", "left").groupBy("query_id").agg(F.count("*").alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("scanned"))
+
+
+def search(vectors: DataFrame, *, k: int = 20, every: int = 20, slice_rows: int = 16_384, **options) -> DataFrame:
+    """query_id, rank, vec_id, score: for ids divisible by ``every``, their k nearest others. ``options``: see DEFAULTS."""
+    plan = _plan(vectors, k=k, **{**DEFAULTS, **options})
+    if plan is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    posted, asked = _posted(plan), _asked(plan, every)
+    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / plan.block_rows).cast("int").alias("blocks"))
+    needs = asked.groupBy("list").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
+    parts = write_and_read(sizes.join(needs, "list"), "list-parts")  # lists with vectors that a query opens
     block = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks")).cast("int")
-    posted = posted.join(sizes, "cell").select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "ids", "v")
-    queries = chosen.mapInPandas(ask, "cell long, query_id long, q array<double>")
-    part = F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")
-    asked = queries.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("slice"), "query_id", "q")
+    part = F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int")
+    held = posted.join(parts, "list").select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "list", "ids", "v")
+    wanted = asked.join(parts, "list").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("slice"), "list", "query_id")
+    # a query and what it opens of a cell are one row with its vector
+    wanted = wanted.groupBy("cell", "block", "slice", "query_id").agg(F.collect_list("list").alias("lists"))
+    wanted = wanted.join(plan.vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
     def scan(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        counts = right["ids"].map(len).to_numpy()
-        flat = np.concatenate(right["ids"].to_numpy())
-        starts = np.cumsum(counts) - counts
-        v = _stack(right["v"])
+        order = np.argsort(right["list"].to_numpy(), kind="stable")
+        home, ids = right["list"].to_numpy()[order], right["ids"].to_numpy()[order]
+        v = _stack(right["v"])[order]
+        names, firsts = np.unique(home, return_index=True)
+        ends = np.append(firsts[1:], len(home))
         found = []
-        queries, names = _stack(left["q"]), left["query_id"].to_numpy()
-        for a in range(0, len(left), 64):
-            near = queries[a : a + 64] @ v.T
-            for i, scores in enumerate(near):
-                keep = np.argpartition(-scores, k)[: k + 1] if len(scores) > k + 1 else np.arange(len(scores))
-                least = scores[keep].min()
-                keep = np.flatnonzero(scores >= least - 1e-9)
-                ids = np.concatenate([flat[starts[j] : starts[j] + counts[j]] for j in keep])
-                s = np.repeat(scores[keep], counts[keep])
-                other = ids != names[a + i]
-                ids, s = ids[other], s[other]
-                best = np.lexsort((ids, -s))[: 2 * k]
-                found.append((np.full(len(best), names[a + i]), ids[best], s[best]))
-        return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-
-    rough = asked.groupBy("cell", "block", "slice").cogroup(posted.groupBy("cell", "block", "slice")).applyInPandas(scan, "query_id long, vec_id long, score double")
+        for name, q, opened in zip(left["query_id"].to_numpy(), _stack(left["q"]), left["lists"], strict=True):
+            at = np.searchsorted(names, opened)
+            at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == opened)]
+            rows = np.concatenate([np.arange(firsts[j], ends[j]) for j in at]) if len(at) else np.zeros(0, np.int64)
+            if not len(rows):
+                continue
+            scores = v[rows] @ q
+            # copies of a vector may lie in several of these lists
+            most = min(len(scores), (k + 1) * plan_copies)
+            least = np.partition(scores, len(scores) - most)[len(scores) - most]
+            keep = np.flatnonzero(scores >= least - 1e-9)
+            counts = np.array([len(ids[j]) for j in rows[keep]])
+            near, s = np.concatenate([ids[j] for j in rows[keep]]), np.repeat(scores[keep], counts)
+            near, first = np.unique(near, return_index=True)
+            s = s[first]
+            near, s = near[near != name], s[near != name]
+            best = np.lexsort((near, -s))[: 2 * k]
+            found.append((np.full(len(best), name), near[best], s[best]))
+        if not found:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.DataFrame({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("query_id", "vec_id", "score"))})
+
+    plan_copies = plan.lists.max_copies
+    group = ("cell", "block", "slice")
+    rough = wanted.groupBy(*group).cogroup(held.groupBy(*group)).applyInPandas(scan, "query_id long, vec_id long, score double")
     # a vector in several cells is found several times
     rough = rough.groupBy("query_id", "vec_id").agg(F.max("score").alias("rough"))
     per_query = Window.partitionBy("query_id")
     close = rough.withColumn("r", F.row_number().over(per_query.orderBy(F.desc("rough"), "vec_id"))).where(F.col("r") <= 2 * k)
     # exactly the measure, in one fixed order of summing
-    one = valid.groupBy("vec_id").agg(F.min("v").alias("v"))
     exact = (
-        close.join(one.select("vec_id", "v"), "vec_id")
-        .join(one.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        close.join(plan.vectors, "vec_id")
+        .join(plan.vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
         .withColumn("score", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c))
     )
     ranked = exact.withColumn("rank", F.row_number().over(per_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
