@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from histlake.library import Library, federated_search
 from histlake.operators import lifecycle
+from histlake.operators.snapshots import Snapshots
 from histlake.sources.rowfiles import apply_delta, export_delta, read_row_stream, write_row_stream
 from test_ingest import line, transcript
 
@@ -40,7 +41,7 @@ def test_tables(lib):
     assert lib.knowledge.select("record_id").distinct().count() == lib.knowledge.count()
 
 
-def test_questions(lib):
+def test_questions(lib, folder, tmp_path):
     assert lib.search("passed", limit=3).count() > 0
     assert lib.context("passed").count() > 0
     assert lib.unresolved().count() == 3 and lib.asset("decisions").count() == 0
@@ -49,6 +50,10 @@ def test_questions(lib):
     assert found["record"].count() == 1 and found["occurrences"].count() == 3 and found["relations"].count() == 1
     with pytest.raises(LookupError):
         lib.trace("record-")
+    shots = Snapshots(lib.events.sparkSession, f"file://{tmp_path}/shots", chunk_bytes=200)
+    shots.take(f"file://{folder}")
+    raw = lib.trace(record, shots)["raw"].collect()
+    assert len(raw) == 3 and all(r["raw"] == (folder / f"{r['thread_id']}.jsonl").read_text().split("\n")[r["line_no"] - 1] for r in raw)
     talk = [(r["role"], r["text"]) for r in lib.conversation(["a"]).collect()]
     assert talk == [("user", "fix it\nplease"), ("assistant", "done")]
     assert lib.conversation(["a"], turns="2:").count() == 0
