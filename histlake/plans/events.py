@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from histlake.functions import constants as C
 from histlake.functions.text import ASCII_BLANK, asset_types, event_category, event_status, normalize_text, semantic_projection, truncate
 from histlake.operators import conversation, ingest, lineage, relations
 from histlake.operators.stats import greedy_batches, token_cost, usage_totals
@@ -268,7 +269,8 @@ def thread_list(spark, sf):
 
 @query(
     "internal_context",
-    with_(MESSAGES_SQL) + "SELECT thread_id, line_no, role = 'system' AS internal FROM messages",
+    with_(MESSAGES_SQL, "marked AS (SELECT thread_id, line_no, ltrim(CASE WHEN role = 'system' THEN '  <skills_instructions>' || text ELSE text END, ' ') AS t FROM messages)")
+    + "SELECT thread_id, line_no, " + " OR ".join(f"starts_with(t, '{tag}')" for tag in C.INTERNAL_CONTEXT) + " AS internal FROM marked",
 )
 def internal_context(spark, sf):
     marked = messages(spark, sf).withColumn("text", F.when(F.col("role") == "system", F.concat(F.lit("  <skills_instructions>"), F.col("text"))).otherwise(F.col("text")))
@@ -311,7 +313,14 @@ def usage_cost(spark, sf):
     return read_table(spark, sf, "events").select("event_id", F.round(token_cost(e % 100, e % 40, e % 60, (10.0, 2.0, 20.0)), 9).alias("cost"))
 
 
-@query("greedy_batches")
+@query(
+    "greedy_batches",
+    f"""WITH RECURSIVE {MESSAGES_SQL},
+o AS (SELECT thread_id, line_no, length(text) AS n, row_number() OVER (PARTITION BY thread_id ORDER BY line_no) AS k FROM messages),
+b AS (SELECT thread_id, line_no, k, n AS used, 0::BIGINT AS batch FROM o WHERE k = 1
+  UNION ALL SELECT o.thread_id, o.line_no, o.k, CASE WHEN b.used + o.n > 600 THEN o.n ELSE b.used + o.n END, b.batch + (b.used + o.n > 600)::BIGINT FROM b JOIN o ON o.thread_id = b.thread_id AND o.k = b.k + 1)
+SELECT thread_id, line_no, batch FROM b""",
+)
 def greedy_batches_q(spark, sf):
     rows = messages(spark, sf).withColumn("n", F.length("text"))
     return greedy_batches(rows, group="thread_id", order="line_no", size="n", limit=600)

@@ -35,15 +35,17 @@ def claim_offsets(spark, sf):
 @query(
     "claim_support",
     with_(KNOWLEDGE_SQL, CLAIMS_SQL)
-    + """, o AS (SELECT c.record_id, c.ordinal, k.scope_id FROM claims c JOIN knowledge k USING (record_id) WHERE k.tier = 'overview'),
-f AS (SELECT scope_id, record_id AS fact_id, row_number() OVER (PARTITION BY scope_id ORDER BY record_id) - 1 AS fact_no FROM knowledge WHERE tier = 'fact_block'),
+    + """, g AS (SELECT record_id, tier, category || '/' || evidence_count AS scope_id FROM knowledge),
+o AS (SELECT c.record_id, c.ordinal, g.scope_id FROM claims c JOIN g USING (record_id) WHERE g.tier = 'overview'),
+f AS (SELECT scope_id, record_id AS fact_id, row_number() OVER (PARTITION BY scope_id ORDER BY record_id) - 1 AS fact_no FROM g WHERE tier = 'fact_block'),
 m AS (SELECT scope_id, max(fact_no) AS last FROM f GROUP BY scope_id)
 SELECT o.record_id, o.ordinal, f.fact_id FROM o JOIN m USING (scope_id) JOIN f ON f.scope_id = o.scope_id AND f.fact_no = least(o.ordinal, m.last)""",
 )
 def claim_support(spark, sf):
     from histlake.operators.lineage import ordinals
 
-    rows = knowledge(spark, sf)
+    # no source holds both overviews and facts here, so a language's share stands for the scope
+    rows = knowledge(spark, sf).withColumn("scope_id", F.concat_ws("/", "category", "evidence_count"))
     claimed = K.claims(rows.where("tier = 'overview'")).join(rows.select("record_id", "scope_id"), "record_id")
     facts = ordinals(rows.where("tier = 'fact_block'").select("scope_id", "record_id"), ["scope_id"], ["record_id"], "fact_no")
     return K.support(claimed.select("record_id", "ordinal", "scope_id"), facts, "scope_id").select("record_id", "ordinal", "fact_id")

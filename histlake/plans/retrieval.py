@@ -133,8 +133,10 @@ def artifact_bm25_weighted(spark, sf):
     return bm25(rows, ["url", "html"], ["page"], weights=(8.0, 2.0)).select("page_id", F.round("bm25", 9).alias("bm25"))
 
 
-def _vector_query(spark, sf) -> list[float]:
-    return [float(x) for x in read_table(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"]]
+def _vector_query(spark, sf) -> list[float] | None:
+    """Vector 0, if there is one."""
+    found = read_table(spark, sf, "embeddings").where("vec_id = 0").first()
+    return [float(x) for x in found["embedding"]] if found and found["embedding"] else None
 
 
 def _bridge(documents):
@@ -143,7 +145,9 @@ def _bridge(documents):
 
 def _semantic(spark, sf, limit):
     documents = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return semantic_candidates(documents, _bridge(documents), _vector_query(spark, sf), limit=limit)
+    vector = _vector_query(spark, sf)
+    near = documents if vector else documents.where("false")
+    return semantic_candidates(near, _bridge(near), vector or [1.0], limit=limit)
 
 
 DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
@@ -202,9 +206,9 @@ def asset_list(spark, sf):
 KEY = r"sha256(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' '))"
 
 
-@query("compare_scopes", with_(KNOWLEDGE_SQL) + f"SELECT {KEY} AS text_sha FROM knowledge WHERE retrieval_eligible AND valid_to IS NULL AND scope_id = 'src1' INTERSECT SELECT {KEY} FROM knowledge WHERE retrieval_eligible AND valid_to IS NULL AND scope_id = 'src4'")
+@query("compare_scopes", with_(KNOWLEDGE_SQL) + f"SELECT {KEY} AS text_sha FROM knowledge WHERE retrieval_eligible AND valid_to IS NULL AND scope_id = 'src2' INTERSECT SELECT {KEY} FROM knowledge WHERE retrieval_eligible AND valid_to IS NULL AND scope_id = 'src14'")
 def compare_scopes(spark, sf):
-    return S.compare_scopes(knowledge(spark, sf), "src1", "src4")
+    return S.compare_scopes(knowledge(spark, sf), "src2", "src14")
 
 
 FEDERATED_KEY = r"sha256(lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) || chr(31) || k.tier || chr(31) || asset_type || chr(31) || status_group)"
