@@ -12,15 +12,15 @@ in memory: each centroid's nearest others, and a few at random that keep it in o
 that is still within the ratio at its end goes on with twice the breadth. The ratio is measured:
 the least at which ``recall`` of the true neighbours within a sample lie in opened lists.
 
-The posting list is what is stored and scanned: of a list, the queries that open it meet its
-vectors, in exact inner products of double precision, and no other list's. Lists near one another
-share a group of Spark's (a cell), so that what a query opens lies in few of them; ``search_work``
-tells how many lists each query opens and how many vectors it is held against.
-
-Scale: a list that outgrows ``block_values`` components (the sample is bounded, the table is
-not) is cut into blocks by a hash of the id, and the queries of a list into slices of
-``slice_rows``; only such lists and queries are exchanged more than once, and lists that no
-query opens not at all. Where vectors have no clusters, many lists open: recall is kept, not
+The posting list is what is scanned: a query meets the vectors of the lists that it opens, in
+exact inner products of double precision, and no others. Lists near one another are exchanged as
+one group (a cell), with one row per query that opens any of them; ``search_work`` tells how many
+lists each query opens and how many vectors it is held against.
+
+Scale: a cell that outgrows ``block_values`` components (the sample is bounded, the table is
+not) is cut into blocks by a hash of the id, and the queries of a cell into slices of
+``slice_rows``; only such cells' vectors and queries are exchanged more than once, and cells of
+which no query opens a list not at all. Where vectors have no clusters, many lists open: recall is kept, not
 time. Equal vectors are one candidate: of each, only the k + 1 least ids can ever be among a
 query's k nearest, so a vector that a third of all rows share costs k + 1 rows. The broadcast
 holds centroids and graph only: at most ``max_centroids`` times the dimension.
@@ -309,7 +309,7 @@ def _posted(plan: _Plan) -> DataFrame:
 
 
 def _asked(plan: _Plan, every: int) -> DataFrame:
-    """cell, list, query_id: the lists that each query opens."""
+    """cell, query_id, lists: the lists that each query opens, a row per cell."""
     spark = plan.vectors.sparkSession
     shared, ratio = spark.sparkContext.broadcast(plan.lists), plan.ratio
 
@@ -318,12 +318,16 @@ def _asked(plan: _Plan, every: int) -> DataFrame:
             for a in range(0, len(pdf), 256):
                 part = pdf.iloc[a : a + 256]
                 row, found = shared.value.open(_stack(part["v"]), ratio)
-                yield pd.DataFrame({"cell": shared.value.cell[found], "list": found, "query_id": part["vec_id"].to_numpy()[row]})
+                cell = shared.value.cell[found]
+                order = np.lexsort((found, cell, row))
+                row, cell, found = row[order], cell[order], found[order]
+                head = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0))
+                yield pd.DataFrame({"cell": cell[head], "query_id": part["vec_id"].to_numpy()[row[head]], "lists": np.split(found, head[1:])})
 
     # a number of partitions of its own, else the few bytes of all queries are put into one task
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = plan.vectors.where(F.col("vec_id") % every == 0).repartition(tasks, "vec_id")
-    return write_and_read(chosen.mapInPandas(ask, "cell long, list long, query_id long"), "opened")
+    return write_and_read(chosen.mapInPandas(ask, "cell long, query_id long, lists array<long>"), "opened")
 
 
 DEFAULTS = {"sample_rows": 20_000, "list_rows": 64, "max_centroids": 16_384, "replicate_ratio": 1.03, "max_copies": 3, "min_lists": 4, "recall": 0.96, "block_values": 2**17, "id_col": "vec_id", "vector_col": "embedding"}
@@ -335,7 +339,7 @@ def search_work(vectors: DataFrame, *, k: int = 20, every: int = 20, **options)
     if plan is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, lists long, scanned long")
     sizes = _posted(plan).groupBy("list").agg(F.count("*").alias("n"))
-    return _asked(plan, every).join(sizes, "list", "left").groupBy("query_id").agg(F.count("*").alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("scanned"))
+    return _asked(plan, every).select("query_id", F.explode("lists").alias("list")).join(sizes, "list", "left").groupBy("query_id").agg(F.count("*").alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("scanned"))
 
 
 def search(vectors: DataFrame, *, k: int = 20, every: int = 20, slice_rows: int = 16_384, **options) -> DataFrame:
@@ -344,15 +348,13 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, slice_rows: int
     if plan is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     posted, asked = _posted(plan), _asked(plan, every)
-    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / plan.block_rows).cast("int").alias("blocks"))
-    needs = asked.groupBy("list").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
-    parts = write_and_read(sizes.join(needs, "list"), "list-parts")  # lists with vectors that a query opens
+    sizes = posted.groupBy("cell").agg(F.ceil(F.count("*") / plan.block_rows).cast("int").alias("blocks"))
+    needs = asked.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
+    parts = write_and_read(sizes.join(needs, "cell"), "cell-parts")  # cells with vectors that a query opens
     block = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks")).cast("int")
     part = F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int")
-    held = posted.join(parts, "list").select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "list", "ids", "v")
-    wanted = asked.join(parts, "list").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("slice"), "list", "query_id")
-    # a query and what it opens of a cell are one row with its vector
-    wanted = wanted.groupBy("cell", "block", "slice", "query_id").agg(F.collect_list("list").alias("lists"))
+    held = posted.join(parts, "cell").select("cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "list", "ids", "v")
+    wanted = asked.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("slice"), "query_id", "lists")
     wanted = wanted.join(plan.vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
     def scan(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
