@@ -330,7 +330,7 @@ def _asked(plan: _Plan, every: int) -> DataFrame:
     return write_and_read(chosen.mapInPandas(ask, "cell long, query_id long, lists array<long>"), "opened")
 
 
-DEFAULTS = {"sample_rows": 20_000, "list_rows": 64, "max_centroids": 16_384, "replicate_ratio": 1.03, "max_copies": 3, "min_lists": 4, "recall": 0.96, "block_values": 2**17, "id_col": "vec_id", "vector_col": "embedding"}
+DEFAULTS = {"sample_rows": 20_000, "list_rows": 64, "max_centroids": 16_384, "replicate_ratio": 1.03, "max_copies": 3, "min_lists": 4, "recall": 0.96, "block_values": 2**20, "id_col": "vec_id", "vector_col": "embedding"}
 
 
 def search_work(vectors: DataFrame, *, k: int = 20, every: int = 20, **options) -> DataFrame:
