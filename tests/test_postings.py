@@ -71,3 +71,32 @@ def test_blocks_without_candidates_are_not_opened(spark, records, index, tmp_pat
 def test_an_index_of_nothing(spark, records, tmp_path):
     postings.build_index(records.limit(0), f"file://{tmp_path}/i")
     assert postings.Index(spark, f"file://{tmp_path}/i").search(S.SearchSpec("the")).count() == 0
+
+
+def test_long_texts_take_time_in_proportion(spark, records, tmp_path):
+    import time
+
+    text = " ".join(f"w{i:x}" for i in range(90_000))  # 600,000 characters
+    long = records.where("record_id = '1'").withColumns({"record_id": F.lit("long"), "text": F.lit(text)})
+    began = time.time()
+    postings.build_index(long, f"file://{tmp_path}/i")
+    index = postings.Index(spark, f"file://{tmp_path}/i")
+    spec = S.SearchSpec("w15f8f", filters=S.Filters(history=True))
+    assert rows(index.search(spec)) == rows(S.search(long, spec)) != []
+    assert time.time() - began < 60
+
+
+def test_lists_of_texts_that_are_cut(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(postings, "SLICE_CHARS", 7)
+    texts = ["abcabcabcabcdefghijkl", "ab", "", "\U0001f600\U0001f600xab", "bcabcabc"]
+    titles = ["abc", "abc", "xyz", "", "scope"]
+    batch = pa.RecordBatch.from_pydict({"block": [1, 1, 1, 2, 2], "place": [1, 2, 3, 1, 2], "body": texts, "title": titles})
+    found = set()
+    for out in postings.posting_lists(iter([batch])):
+        for gram, block, places, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            assert len(set(places)) == len(places) == n
+            found |= {(gram, block, p) for p in places}
+    where = [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
+    assert found == {(t[i : i + 3], *at) for at, *both in zip(where, texts, titles) for t in both for i in range(len(t) - 2)}
