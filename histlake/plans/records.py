@@ -29,7 +29,7 @@ def sentence_claims(spark, sf):
 SELECT record_id, ordinal, (seen + strpos(substring(text, seen + 1), claim) - 1)::BIGINT AS char_start FROM x""",
 )
 def claim_offsets(spark, sf):
-    return K.claims(knowledge(spark, sf)).select("record_id", "ordinal", "char_start")
+    return K.claims(knowledge(spark, sf, merge=True)).select("record_id", "ordinal", "char_start")
 
 
 @query(

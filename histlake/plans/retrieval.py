@@ -81,7 +81,7 @@ def search_all(spark, sf):
 
 def indexed(spark, sf):
     path = work_path(spark, "index")
-    build_index(knowledge(spark, sf), path)
+    build_index(knowledge(spark, sf, merge=True), path)
     return Index(spark, path)
 
 
