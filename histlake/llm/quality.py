@@ -19,7 +19,7 @@ labels of both classes every score is the share of label 1 (0.5 without labels).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -112,6 +112,20 @@ class NbSvm:
         return float(self.sigmoid(np.array([self.margin(features(text))]))[0])
 
 
+class _Scaled(Sequence):
+    """Each row's features with their values, derived when asked for: values of all rows at once would fill the driver."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.rows, self.ratio = rows, ratio
+        self.norms = [float(np.sqrt(r @ r)) or 1.0 for r in (ratio[found] for found in rows)]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.rows[i], self.ratio[self.rows[i]] / self.norms[i]
+
+
 def _fit_plain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, alpha: float, cost: float) -> NbSvm:
     counts = {}
     for sign in (-1, 1):
@@ -120,11 +134,7 @@ def _fit_plain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, alpha:
             total[found] += w
         counts[sign] = np.log(total / (weight[y == sign].sum() + 2 * alpha))
     ratio = counts[1] - counts[-1]
-    scaled = []
-    for found in rows:
-        r = ratio[found]
-        norm = float(np.sqrt(r @ r)) or 1.0
-        scaled.append((found, r / norm))
+    scaled = _Scaled(rows, ratio)
     balance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == -1).sum()) * len(y)
     w = dual_coordinate_descent(scaled, y, cost * balance, N_FEATURES)
     return NbSvm(ratio, w[:-1], float(w[-1]), Sigmoid(1.0, 0.0))
@@ -139,7 +149,7 @@ def fit(sample: Sample, *, alpha: float = 1.0, cost: float = 1.0, parts: int = 3
 
     got = sample.docs.mapInPandas(extract, "doc_id long, label int, f binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["f"])))
-    rows = [np.frombuffer(r["f"], "<i4").astype(np.int64) for r in got]
+    rows = [np.frombuffer(r["f"], "<i4") for r in got]  # as they came, not copied
     y = np.array([1 if r["label"] == 1 else -1 for r in got])
     weight = np.array([sample.weight(int(r["label"])) for r in got])
     if len(set(y.tolist())) < 2:
